@@ -1,8 +1,9 @@
 """Queries of the numbered problems and the SQL of those that SQL can express."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import groups, survivors
+from . import copies, groups, survivors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,7 +18,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.group_survivors(table(spark, d, "auto_drop_log"), table(spark, d, "merged_exact_dedup"), table(spark, d, "source_trust"), p3_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found)}
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copy_groups(table(spark, d, "merged_exact_dedup"), "row_index", ["Title", "Abstract"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_groups(spark, d).where("row_index <> first_index").select("first_index", F.col("row_index").alias("copy_index"))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """The collapsed records with their number of copies."""
+    return p5_groups(spark, d).groupBy("first_index").agg(F.count("*").alias("copies"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_records)}
 
 P3_SQL = """
 WITH RECURSIVE l AS (
