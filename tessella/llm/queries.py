@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, groups, survivors
+from . import copies, groups, similar, survivors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.group_survivors(table(spark, d, "auto_drop_log"), table(spark, d, "merged_exact_dedup"), table(spark, d, "source_trust"), p3_found(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.near_duplicates(table(spark, d, "merged_exact_dedup"), "row_index", ["Title", "Abstract"])
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_groups(table(spark, d, "merged_exact_dedup"), "row_index", ["Title", "Abstract"])
 
@@ -31,7 +35,7 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return p5_groups(spark, d).groupBy("first_index").agg(F.count("*").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records)}
 
 P3_SQL = """
 WITH RECURSIVE l AS (
