@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, groups, similar, survivors
+from . import copies, encode, groups, packing, similar, survivors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,7 +35,28 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return p5_groups(spark, d).groupBy("first_index").agg(F.count("*").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.token_ids(table(spark, d, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return encode.round_trip(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(encode.token_counts(table(spark, d, "documents")), table(spark, d, "container_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used for each capacity, against the least that the tokens would need."""
+    return (
+        p7_containers(spark, d).groupBy("spec_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("pieces"))
+        .groupBy("spec_name", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("fullest"))
+        .withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_containers, p7_fill)}
 
 P3_SQL = """
 WITH RECURSIVE l AS (
