@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, encode, groups, packing, similar, survivors
+from . import copies, encode, groups, packing, residue, similar, survivors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,7 +56,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    return residue.validation(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_validation)}
 
 P3_SQL = """
 WITH RECURSIVE l AS (
