@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, encode, groups, packing, residue, similar, survivors
+from . import clusters, copies, encode, groups, packing, residue, similar, survivors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.near_duplicates(table(spark, d, "merged_exact_dedup"), "row_index", ["Title", "Abstract"])
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.subject_clusters(table(spark, d, "document_info_full"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_members(spark, d).select("doc_id", "topic")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical documents of each cluster."""
+    return clusters.typical(p4_members(spark, d))
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_groups(table(spark, d, "merged_exact_dedup"), "row_index", ["Title", "Abstract"])
 
@@ -64,7 +77,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_clusters, p5_found, p5_records, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_validation)}
 
 P3_SQL = """
 WITH RECURSIVE l AS (
