@@ -1,41 +1,3 @@
-"""Written intermediate tables in the shared folder that the cluster names.
+from ..scratch import discard, materialize, shared_dir
 
-``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, local runs)
-is a folder of this machine taken. Every table is a Parquet folder of its own, so a lost executor costs the
-reading task a retry, never the lineage behind the table.
-"""
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if d:
-        return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    d = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage and is computed a single time."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` that no later result reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["discard", "materialize", "shared_dir"]
