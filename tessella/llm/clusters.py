@@ -101,7 +101,8 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
     into ``SEEDS_PER_HINT`` times as many clusters as there are hints: small subjects get a centroid, large ones several.
     Each cluster is named by the hint that most of its texts carry (-1 and null do not count); clusters of one name, if
     named by ``MIN_VOTE`` of the hinted texts, are merged, and ``STEPS`` more steps of k-means run on the merged centroids. A
-    text whose cosine with its centroid is below ``MIN_SIMILARITY`` is about none of the subjects.
+    text whose cosine with its centroid is below ``MIN_SIMILARITY`` is about none of the subjects. A hint that named no
+    cluster gets a centroid of its own from such texts, so that the smallest subjects are not lost to chance.
 
     To the driver come only the centroids (at most ``MAX_CLUSTERS`` of 2^13 numbers), their votes and the word
     frequencies. Defined cases: null, blank and wordless texts and null records belong to no cluster; repeated rows
@@ -120,12 +121,14 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
     for v in sorted(votes, key=lambda v: v.cluster):
         if v.n >= MIN_VOTE * v.all or v.hint not in {u.hint for u in votes if u.n >= MIN_VOTE * u.all}:
             merged[v.hint] = merged.get(v.hint, 0) + found[v.cluster] * v.n
-    for _ in range(STEPS):
-        near = nearest(vecs, record, merged).where(F.col("similarity") >= MIN_SIMILARITY)
-        means = near.groupBy("topic").agg(Summarizer.mean(F.col("features")).alias("mean")).collect()
+    for step in range(STEPS):
+        # a hint without a cluster starts one at the mean of its texts that are near no other: once, in the first step
+        alone = F.when((F.col("hint") >= 0) & ~F.col("hint").isin(list(merged)), -2 - F.col("hint")) if step == 0 else F.lit(None).cast("int")
+        near = nearest(vecs, record, merged).withColumn("to", F.when(F.col("similarity") >= MIN_SIMILARITY, F.col("topic")).otherwise(alone))
+        means = near.where("to IS NOT NULL").groupBy("to").agg(Summarizer.mean(F.col("features")).alias("mean"), F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).collect()
         if not means:
             break
-        merged = {r.topic: r.mean.toArray() for r in means}
+        merged = {(r.to if r.to >= 0 else -2 - r.to): r.mean.toArray() for r in means}
     member = materialize(nearest(vecs, record, merged).where(F.col("similarity") >= MIN_SIMILARITY).select(record, "hint", "topic", "similarity"), "member")
     # the merged clusters' own votes name them in the end
     final = member.where("hint >= 0").groupBy("topic", "hint").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "hint"))).where("r = 1").select("topic", F.col("hint").alias("name"))
