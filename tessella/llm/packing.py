@@ -10,6 +10,7 @@ from .scratch import materialize
 
 CHUNK_ITEMS = 4000
 ROUNDS = 3
+MOST_SPECS = 1000
 SEARCH_NODES = 20_000
 
 
@@ -203,8 +204,10 @@ def fill_containers(items: DataFrame, specs: DataFrame, record: str = "doc_id",
     """
     sized = materialize(items.select(F.monotonically_increasing_id().alias("uid"), F.col(record).cast("bigint").alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")), "sizes")
     n = sized.count()
-    kinds = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
-    each = sized.crossJoin(F.broadcast(kinds.limit(64)))  # a handful of container sizes beside every item
+    kinds = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct().limit(MOST_SPECS + 1).collect()
+    if len(kinds) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container sizes")
+    each = sized.withColumn("spec", F.explode(F.array([F.struct(F.lit(k.spec_name).cast("string").alias("spec_name"), F.lit(k.capacity_tokens).cast("int").alias("capacity_tokens")) for k in kinds]).cast("array<struct<spec_name:string,capacity_tokens:int>>"))).select("uid", "doc_id", "size", "spec.*")
     full = F.floor(F.col("size") / F.col("capacity_tokens")).cast("int")
     pieces = each.withColumn("full", full).withColumn("rest", F.col("size") - F.col("full") * F.col("capacity_tokens"))
     whole = pieces.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).select("spec_name", "capacity_tokens", "uid", "doc_id", "piece", (F.col("piece").cast("bigint") * F.col("capacity_tokens")).alias("first_token"), F.col("capacity_tokens").cast("bigint").alias("n_tokens"), F.concat(F.lit("full."), "uid", F.lit("."), "piece").alias("container"))
