@@ -21,6 +21,7 @@ MAX_CLUSTERS = 600
 MIN_TEXTS = 5
 MIN_SIMILARITY = 0.4
 MIN_VOTE = 0.5
+MIN_NAMED = 3
 STEPS = 3
 _MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;")
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -100,7 +101,7 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
     Texts are vectorised by hashed weighted words and divided by distributed k-means with parallel oversampled seeding,
     into ``SEEDS_PER_HINT`` times as many clusters as there are hints: small subjects get a centroid, large ones several.
     Each cluster is named by the hint that most of its texts carry (-1 and null do not count); clusters of one name, if
-    named by ``MIN_VOTE`` of the hinted texts, are merged, and ``STEPS`` more steps of k-means run on the merged centroids. A
+    named by ``MIN_VOTE`` of their hinted texts and ``MIN_NAMED`` at least, are merged, and ``STEPS`` more steps of k-means run on the merged centroids. A
     text whose cosine with its centroid is below ``MIN_SIMILARITY`` is about none of the subjects. A hint that named no
     cluster gets a centroid of its own from such texts, so that the smallest subjects are not lost to chance.
 
@@ -119,8 +120,10 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
     votes = named.withColumn("all", F.sum("n").over(Window.partitionBy("cluster"))).withColumn("r", F.row_number().over(order)).where("r = 1").collect()
     found, merged = model.clusterCenters(), {}
     for v in sorted(votes, key=lambda v: v.cluster):
-        if v.n >= MIN_VOTE * v.all or v.hint not in {u.hint for u in votes if u.n >= MIN_VOTE * u.all}:
+        if v.n >= MIN_VOTE * v.all and v.n >= MIN_NAMED:
             merged[v.hint] = merged.get(v.hint, 0) + found[v.cluster] * v.n
+    if not merged:  # too few texts for any vote: every cluster stands for its most frequent hint
+        merged = {v.hint: found[v.cluster] for v in votes}
     for step in range(STEPS):
         # a hint without a cluster starts one at the mean of its texts that are near no other: once, in the first step
         alone = F.when((F.col("hint") >= 0) & ~F.col("hint").isin(list(merged)), -2 - F.col("hint")) if step == 0 else F.lit(None).cast("int")
@@ -130,8 +133,10 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
             break
         merged = {(r.to if r.to >= 0 else -2 - r.to): r.mean.toArray() for r in means}
     member = materialize(nearest(vecs, record, merged).where(F.col("similarity") >= MIN_SIMILARITY).select(record, "hint", "topic", "similarity"), "member")
-    # the merged clusters' own votes name them in the end
-    final = member.where("hint >= 0").groupBy("topic", "hint").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "hint"))).where("r = 1").select("topic", F.col("hint").alias("name"))
+    # the merged clusters' own votes name them in the end; one whose members carry all sorts of hints has no subject
+    order = Window.partitionBy("topic").orderBy(F.desc("n"), "hint")
+    final = member.where("hint >= 0").groupBy("topic", "hint").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("topic"))).withColumn("r", F.row_number().over(order))
+    final = final.where((F.col("r") == 1) & (F.col("n") >= MIN_VOTE * F.col("all"))).select("topic", F.col("hint").alias("name"))
     large = member.groupBy("topic").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TEXTS)
     return member.join(large, "topic").join(final, "topic").select(record, F.col("name").alias("topic"), "similarity")
 
