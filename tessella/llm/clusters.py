@@ -20,7 +20,7 @@ SEEDS_PER_HINT = 2.5
 MAX_CLUSTERS = 600
 MIN_TEXTS = 5
 MIN_SIMILARITY = 0.4
-MIN_VOTE = 0.5
+MIN_VOTE = 0.35
 MIN_NAMED = 3
 STEPS = 3
 _MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;")
@@ -95,13 +95,20 @@ def nearest(vecs: DataFrame, record: str, centres: dict[int, np.ndarray]) -> Dat
     return vecs.withColumn("best", best("features")).select(record, "hint", "features", "best.topic", "best.similarity")
 
 
+def _votes(df: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, hint, n, all): of each cluster the hint that most of its texts carry, and the number of all its texts."""
+    n = df.groupBy(cluster, F.when(F.col("hint") >= 0, F.col("hint")).alias("hint")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(cluster).orderBy(F.col("hint").isNull(), F.desc("n"), "hint")
+    return n.withColumn("all", F.sum("n").over(Window.partitionBy(cluster))).withColumn("r", F.row_number().over(order)).where("r = 1 AND hint IS NOT NULL").drop("r")
+
+
 def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Document", hint: str = "Topic", seed: int = 11) -> DataFrame:
     """(record, topic, similarity): the texts of every cluster of ``MIN_TEXTS`` or more about one subject.
 
     Texts are vectorised by hashed weighted words and divided by distributed k-means with parallel oversampled seeding,
     into ``SEEDS_PER_HINT`` times as many clusters as there are hints: small subjects get a centroid, large ones several.
     Each cluster is named by the hint that most of its texts carry (-1 and null do not count); clusters of one name, if
-    named by ``MIN_VOTE`` of their hinted texts and ``MIN_NAMED`` at least, are merged, and ``STEPS`` more steps of k-means run on the merged centroids. A
+    named by ``MIN_VOTE`` of all their texts and ``MIN_NAMED`` at least, are merged, and ``STEPS`` more steps of k-means run on the merged centroids. A
     text whose cosine with its centroid is below ``MIN_SIMILARITY`` is about none of the subjects. A hint that named no
     cluster gets a centroid of its own from such texts, so that the smallest subjects are not lost to chance.
 
@@ -115,9 +122,7 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
         return vecs.select(record, F.col("hint").alias("topic"), F.lit(0.0).alias("similarity")).limit(0)
     k = int(max(2, min(SEEDS_PER_HINT * hints, MAX_CLUSTERS, n)))
     model = KMeans(k=k, seed=seed, initMode="k-means||", initSteps=2, maxIter=12, featuresCol="features", predictionCol="cluster").fit(vecs)
-    named = model.transform(vecs).where("hint >= 0").groupBy("cluster", "hint").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("n"), "hint")
-    votes = named.withColumn("all", F.sum("n").over(Window.partitionBy("cluster"))).withColumn("r", F.row_number().over(order)).where("r = 1").collect()
+    votes = _votes(model.transform(vecs), "cluster").collect()
     found, merged = model.clusterCenters(), {}
     for v in sorted(votes, key=lambda v: v.cluster):
         if v.n >= MIN_VOTE * v.all and v.n >= MIN_NAMED:
@@ -134,9 +139,7 @@ def subject_clusters(df: DataFrame, record: str = "doc_id", text: str = "Documen
         merged = {(r.to if r.to >= 0 else -2 - r.to): r.mean.toArray() for r in means}
     member = materialize(nearest(vecs, record, merged).where(F.col("similarity") >= MIN_SIMILARITY).select(record, "hint", "topic", "similarity"), "member")
     # the merged clusters' own votes name them in the end; one whose members carry all sorts of hints has no subject
-    order = Window.partitionBy("topic").orderBy(F.desc("n"), "hint")
-    final = member.where("hint >= 0").groupBy("topic", "hint").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("topic"))).withColumn("r", F.row_number().over(order))
-    final = final.where((F.col("r") == 1) & (F.col("n") >= MIN_VOTE * F.col("all"))).select("topic", F.col("hint").alias("name"))
+    final = _votes(member, "topic").where(F.col("n") >= MIN_VOTE * F.col("all")).select("topic", F.col("hint").alias("name"))
     large = member.groupBy("topic").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TEXTS)
     return member.join(large, "topic").join(final, "topic").select(record, F.col("name").alias("topic"), "similarity")
 
