@@ -252,3 +252,13 @@ def test_residue(spark):
     v = residue.validation(df).collect()
     assert v and all(r.recall is None or r.recall >= 0.8 for r in v)
     assert residue.residue(df.limit(0)).count() == 0 and residue.residue(df.where("doc_id % 6 = 1")).count() == 0
+
+
+def test_words_of_a_text_are_hashed_alike_everywhere():
+    texts = ["", "  ", "Abc abc, ABC-x1", "Ünï 漢字 abc ÿ Ÿ ß", "a" * 5000 + " b", "\ud800x 漢", "naïve µ ©2 ²", "\x00a\x01b", "x_y"]
+    sets = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    bags = similar.Bags(bags_ids(len(texts)), texts)
+    assert bags.n.tolist() == [len(s) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert len(set(bags.word[bags.doc == i]) & set(bags.word[bags.doc == j])) == len(a & b)
