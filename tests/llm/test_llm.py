@@ -137,6 +137,22 @@ def test_near_duplicates_in_blocks_and_empty(spark, monkeypatch):
     assert similar.near_duplicates(df.limit(0), "row_index", ["Title", "Abstract"]).count() == 0
 
 
+def test_long_texts_of_common_words_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary, data = [f"c{k}" for k in range(520)], []
+    for k in range(24):  # two texts of one size share 0.70 to 0.75: more differences than the ring has quarters
+        words = rnd.sample(vocabulary, rnd.randrange(250, 401))
+        rest = [w for w in vocabulary if w not in words]
+        edits = int(len(words) * rnd.choice([0.145, 0.165, 0.17, 0.176, 0.18, 0.2]))
+        data += [(2 * k, " ".join(words), "c0"), (2 * k + 1, " ".join(words[edits:] + rnd.sample(rest, min(edits, len(rest))) + [f"u{k}"]), "c0")]
+    data += [(100 + k, " ".join(rnd.sample(vocabulary, 30)), "c0") for k in range(10)]
+    bags = {i: set(f"{t} {a}".split()) for i, t, a in data}
+    want = [(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) >= 0.7 * len(bags[a] | bags[b]) - 1e-9]
+    far = [(a, b) for a, b in want if len(bags[a] ^ bags[b]) > 63]
+    df = spark.createDataFrame(data, "row_index bigint, Title string, Abstract string")
+    assert len(far) >= 8 and rows(similar.near_duplicates(df, "row_index", ["Title", "Abstract"]), "*") == sorted(want, key=repr)
+
+
 def test_large_groups_are_compared_in_tiles():
     rnd = np.random.default_rng(1)
     base = [f"c{k}" for k in range(50)]
