@@ -254,6 +254,44 @@ def test_weak_labels(spark):
     assert [r.y for r in df.orderBy("k").collect()] == [1] * len(bad) + [0] * len(good)
 
 
+def matching(parsed):
+    """Texts that match a parsed pattern, one for each of its alternatives."""
+    out = [""]
+    for op, arg in parsed:
+        name, more = str(op), [""]
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "SUBPATTERN":
+            more = matching(arg[-1])
+        elif name == "BRANCH":
+            more = [x for b in arg[1] for x in matching(b)]
+        elif name == "MAX_REPEAT":
+            more = [arg[0] * x for x in matching(arg[2])]
+        elif name == "IN":
+            more = [chr(x[1] if str(x[0]) == "LITERAL" else x[1][0]) if str(x[0]) in ("LITERAL", "RANGE") else "w" for x in arg[:1]]
+        elif name in ("ANY", "NOT_LITERAL"):
+            more = ["'"]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_status_and_phrase_passes_the_gate(spark):
+    from re import _parser
+
+    texts = [(p, t) for p in residue.STATUSES + residue.PHRASES for t in matching(_parser.parse(p)) if re.search(p, t)]
+    assert {p for p, _ in texts} == {*residue.STATUSES, *residue.PHRASES}
+    texts += [("", "please enable js."), ("", "active content is required for the article viewer.")]
+    df = spark.createDataFrame(texts, "p string, seg string")
+    assert df.where(residue.weak_label(F.col("seg")) == 0).collect() == []
+
+
+def test_placeholders_over_the_end_of_a_sentence(spark):
+    df = spark.createDataFrame([(1, "Cows ate. [Insert abstract here. At most 250 words.] They slept.", "x"), (2, "Cows [n = 3. see below] ate.\n{{ a\nb }}", "x"), (3, "See [your text here]. Cows ate.", "x"), (4, None, "x"), (5, "Cows [n = 3. 4] ate.", "x")], "doc_id int, text string, source string")
+    segs = residue.segments(df)
+    assert {r.doc_id for r in segs.where(residue.weak_label(F.col("seg")) == 1).collect()} == {1, 2, 3}
+    assert segs.where("doc_id = 3").count() == 2 and segs.where("doc_id = 4").count() == 0 and segs.where("no >= of").count() == 0
+
+
 def test_residue(spark):
     rnd = random.Random(6)
     data = []
