@@ -308,6 +308,14 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0 and residue.residue(df.where("doc_id % 6 = 1")).count() == 0
 
 
+def test_residue_of_one_held_out_host(spark):
+    host = spark.range(50).select(F.concat(F.lit("h"), "id").alias("h")).where(residue.held_out(F.col("h"))).first().h
+    data = [(k, f"Herds near Place{k} were visited in {2000 + k % 20}. The loss was {k}." + " Please enable JavaScript to view this abstract." * (k % 6 == 0), host) for k in range(120)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == list(range(0, 120, 6))
+    assert residue.residue(df.select("doc_id", F.lit("Loading...").alias("text"), "source")).count() == 120
+
+
 def test_words_of_a_text_are_hashed_alike_everywhere():
     texts = ["", "  ", "Abc abc, ABC-x1", "Ünï 漢字 abc ÿ Ÿ ß", "a" * 5000 + " b", "\ud800x 漢", "naïve µ ©2 ²", "\x00a\x01b", "x_y"]
     sets = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
