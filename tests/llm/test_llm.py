@@ -316,6 +316,11 @@ def test_residue_of_one_held_out_host(spark):
     assert residue.residue(df.select("doc_id", F.lit("Loading...").alias("text"), "source")).count() == 120
 
 
+def test_residue_is_decided_by_form_of_placeholder_or_score(spark):
+    df = spark.createDataFrame([("calves of <%= author %> were scored", 0.01), ("kindly switch your viewer to another mode", 0.8), ("please enable javascript", 0.3)], "seg string, score double")
+    assert [r.hit for r in df.select(residue.decided(0.6).alias("hit")).collect()] == [True, True, False]
+
+
 def test_words_of_a_text_are_hashed_alike_everywhere():
     texts = ["", "  ", "Abc abc, ABC-x1", "Ünï 漢字 abc ÿ Ÿ ß", "a" * 5000 + " b", "\ud800x 漢", "naïve µ ©2 ²", "\x00a\x01b", "x_y"]
     sets = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
