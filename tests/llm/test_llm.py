@@ -247,11 +247,14 @@ def test_clusters(spark):
 
 
 # 8
-def test_weak_labels(spark):
-    bad = ["see {{ author }} here", "In ${YEAR} cows", "[TBC - breed]", "HTTP status 503", "Error 404: no se ha encontrado la página solicitada.", "Veuillez activer JavaScript pour afficher le résumé.", "Text text text text", "Lorem pecus velit bos", "Traceback (most recent call last):", "__TITLE_PLACEHOLDER__"]
-    good = ["The web questionnaire required JavaScript, so 9 older farmers answered by phone.", "Costs rose from $5 to $7 per case [95% interval].", "The set {calved, open, dry} was used.", "The marker <|endoftext|> separated the reports.", "Vitamin E 400 IU was given.", "The standard error was 404, and 3 records were not found in the herd book.", "<p>Milk &amp; cows</p>", "Access to pasture was denied to 9 herds."]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(bad + good)], "k int, t string").select("k", residue.weak_label(residue.plain(F.col("t"))).alias("y"))
-    assert [r.y for r in df.orderBy("k").collect()] == [1] * len(bad) + [0] * len(good)
+BAD = ["see {{ author }} here", "In ${YEAR} cows", "[TBC - breed]", "HTTP status 503", "Error 404: no se ha encontrado la página solicitada.", "Veuillez activer JavaScript pour afficher le résumé.", "Text text text text", "Lorem pecus velit dolor", "Traceback (most recent call last):", "__TITLE_PLACEHOLDER__", "please enable js.", "Active content is required for the article viewer.", "Please enable\nJavaScript to go on", "Cows [Insert abstract here. At most 250 words.] ate"]
+GOOD = ["The web questionnaire required JavaScript, so 9 older farmers answered by phone.", "Costs rose from $5 to $7 per case [95% interval].", "The set {calved, open, dry} was used.", "The marker <|endoftext|> separated the reports.", "Vitamin E 400 IU was given.", "The standard error was 404, and 3 records were not found in the herd book.", "<p>Milk &amp; cows</p>", "Access to pasture was denied to 9 herds.", "", " ", None]
+
+
+def test_weak_labels():
+    labels = residue.Labels()
+    assert [any(labels.label(residue.segments(t))) for t in BAD + GOOD] == [True] * len(BAD) + [False] * len(GOOD)
+    assert residue.Labels([], [], [], set()).label(["lorem ipsum {{ a }}"]) == [False]
 
 
 def matching(parsed):
@@ -275,31 +278,32 @@ def matching(parsed):
     return out
 
 
-def test_every_status_and_phrase_passes_the_gate(spark):
+def test_every_pattern_passes_the_gate():
     from re import _parser
 
-    texts = [(p, t) for p in residue.STATUSES + residue.PHRASES for t in matching(_parser.parse(p)) if re.search(p, t)]
-    assert {p for p, _ in texts} == {*residue.STATUSES, *residue.PHRASES}
-    texts += [("", "please enable js."), ("", "active content is required for the article viewer.")]
-    df = spark.createDataFrame(texts, "p string, seg string")
-    assert df.where(residue.weak_label(F.col("seg")) == 0).collect() == []
+    labels = residue.Labels()
+    texts = [(p, t) for p in residue.PLACEHOLDERS + residue.STATUSES + residue.PHRASES for t in matching(_parser.parse(p)) if re.search(p, t)]
+    assert {*residue.STATUSES, *residue.PHRASES} <= {p for p, _ in texts}
+    assert all(labels.label([t]) == [True] for _, t in texts)
 
 
-def test_placeholders_over_the_end_of_a_sentence(spark):
-    df = spark.createDataFrame([(1, "Cows ate. [Insert abstract here. At most 250 words.] They slept.", "x"), (2, "Cows [n = 3. see below] ate.\n{{ a\nb }}", "x"), (3, "See [your text here]. Cows ate.", "x"), (4, None, "x"), (5, "Cows [n = 3. 4] ate.", "x")], "doc_id int, text string, source string")
-    segs = residue.segments(df)
-    assert {r.doc_id for r in segs.where(residue.weak_label(F.col("seg")) == 1).collect()} == {1, 2, 3}
-    assert segs.where("doc_id = 3").count() == 2 and segs.where("doc_id = 4").count() == 0 and segs.where("no >= of").count() == 0
+def test_segments():
+    s = residue.segments
+    assert s("A b. C\r\nd é  f.") == ["a b.", "c", "d e f.", "c d e f."] and s(None) == [] and s(" \n") == []
+    assert s("See [your text here]. Cows.") == ["see [your text here].", "cows."]
 
 
-def test_residue(spark):
-    rnd = random.Random(6)
+def herd_texts(n, rnd, bad, every=6):
     data = []
-    for k in range(240):
+    for k in range(n):
         text = f"Herds near Place{k} were visited in {2000 + k % 20}. {SITES[k % 6].capitalize()} were scored for parity. The loss was {k}."
-        if k % 6 == 0:
-            text += rnd.choice([" Please enable JavaScript to view this abstract.", " Die @@breed@@ betrug 3.", "\nLoading...", " Lorem ipsum dolor sit amet velit."])
-        data.append((k, text, f"host{k % 11}"))
+        data.append((k, text + rnd.choice(bad) if k % every == 0 else text, f"host{k % 11}"))
+    return data
+
+
+def test_residue(spark):
+    rnd = random.Random(6)
+    data = herd_texts(240, rnd, [" Please enable JavaScript to view this abstract.", " Die @@breed@@ betrug 3.", "\nLoading...", " Lorem ipsum dolor sit amet velit."])
     data += [(900, None, "host1"), (901, "", None), (902, " \n", "host2"), (0, data[0][1], "host0"), (None, "Loading...", "host3")]
     df = spark.createDataFrame([(*r, 1, "y") for r in data], "doc_id bigint, text string, source string, no int, seg string")
     assert sorted(r[0] for r in rows(residue.residue(df), "doc_id")) == [k for k in range(240) if k % 6 == 0]
@@ -308,6 +312,17 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0 and residue.residue(df.where("doc_id % 6 = 1")).count() == 0
 
 
+def test_the_classifier_finds_wordings_and_placeholders_without_a_pattern(spark):
+    rnd = random.Random(9)
+    known = [" Please enable JavaScript to view this abstract.", " Die @@breed@@ betrug 3.", " The value of @@herd@@ was kept.", " JavaScript is required to view this page."]
+    data = herd_texts(300, rnd, known, 4)
+    data += [(1000 + k, data[4 * k + 1][1] + new, "host3") for k, new in enumerate([" JavaScript is needed to view this page.", " Use JavaScript to view the abstract here.", " The value of ~~herd~~ was kept."])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    assert not any(residue.Labels().label(residue.segments(data[-k][1])) == [True] for k in (1, 2, 3))
+    got = {r.doc_id for r in residue.residue(df).collect()}
+    assert {1000, 1001, 1002} <= got and {k for k in range(300) if k % 4 == 0} <= got and len(got) <= 80
+
+
 def test_residue_of_one_held_out_host(spark):
     host = spark.range(50).select(F.concat(F.lit("h"), "id").alias("h")).where(residue.held_out(F.col("h"))).first().h
     data = [(k, f"Herds near Place{k} were visited in {2000 + k % 20}. The loss was {k}." + " Please enable JavaScript to view this abstract." * (k % 6 == 0), host) for k in range(120)]
@@ -316,11 +331,6 @@ def test_residue_of_one_held_out_host(spark):
     assert residue.residue(df.select("doc_id", F.lit("Loading...").alias("text"), "source")).count() == 120
 
 
-def test_residue_is_decided_by_form_of_placeholder_or_score(spark):
-    df = spark.createDataFrame([("calves of <%= author %> were scored", 0.01), ("kindly switch your viewer to another mode", 0.8), ("please enable javascript", 0.3)], "seg string, score double")
-    assert [r.hit for r in df.select(residue.decided(0.6).alias("hit")).collect()] == [True, True, False]
-
-
 def test_words_of_a_text_are_hashed_alike_everywhere():
     texts = ["", "  ", "Abc abc, ABC-x1", "Ünï 漢字 abc ÿ Ÿ ß", "a" * 5000 + " b", "\ud800x 漢", "naïve µ ©2 ²", "\x00a\x01b", "x_y"]
     sets = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
