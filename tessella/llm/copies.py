@@ -1,19 +1,23 @@
 """Problem 5: records that differ only in layout, case, punctuation or the order of their fields."""
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
+#: What a bucket may hold, whatever the size of the corpus.
 BUCKET_BYTES = 4 << 20
-MOST_OVERSIZED = 20_000
-DIGEST_BYTES = 8
+#: Bytes by which records are split first; each further level looks at twice as many.
+FIRST_BYTES = 2
+#: The first bytes of a record are kept beside it, so that the first levels need not read the whole of it.
+HEAD_BYTES = 64
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
 _NOT_KEPT = re.compile(r"[\W_]+")
 
@@ -75,56 +79,75 @@ class Trie:
             edge[0], edge[1], edge[2], edge[3] = label[:low], {label[low]: rest}, 0, None
 
 
-def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    trie, out = Trie(), []
-    rows = rows.sort_values("record", kind="stable")
-    for record, digest, canon in zip(rows["record"], rows["digest"], rows["canon"]):
-        first, nth = trie.add((int(digest) % 2**64).to_bytes(DIGEST_BYTES) + bytes(canon), int(record))
-        out.append((first, int(record), nth))
-    return pd.DataFrame(out, columns=["first_index", "row_index", "nth"])
+def count_bucket(rows: pa.Table) -> pa.Table:
+    """Counts the rows of some whole buckets, or of a share of the texts too frequent for one, in a trie: a row for each row.
+
+    ``copies``, the terminal's counter, comes on the first row of its text only.
+    """
+    record, canon = rows.column("record").to_numpy(), rows.column("canon").to_pylist()
+    order = np.argsort(record, kind="stable")
+    trie, first = Trie(), np.zeros(len(order), np.int64)
+    counters: dict[int, int] = {}
+    for at, k in enumerate(order.tolist()):
+        first[at], n = trie.add(canon[k], at)
+        counters[int(first[at])] = n
+    copies = np.zeros(len(order), np.int64)
+    copies[list(counters)] = list(counters.values())
+    record = record[order]
+    key = [hashlib.sha256(canon[k]).digest() for k in order.tolist()] if rows.num_rows and rows.column("hot")[0].as_py() else pa.nulls(len(order), pa.binary())
+    return pa.table({"first_index": record[first], "row_index": record, "copies": pa.array(copies, mask=copies == 0), "key": pa.array(key, pa.binary())})
 
 
 def copy_groups(df: DataFrame, record: str, fields: list[str], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(first_index, row_index, nth): every record with filled fields, the smallest record of its copies, and which copy it is.
+    """(first_index, row_index, copies): every record with filled fields and the smallest record of its copies; on the row of the latter, and there only, their number.
 
-    The canonical bytes of a record are the 64-bit digest of its canonical fields followed by these fields, so that
-    the first bytes are spread evenly even where texts all begin alike. Records are partitioned by the first of these
-    bytes; a bucket of more than ``bucket_bytes`` is split by one further byte, again and again, until it fits. The
-    sizes of a level are one map-side combined aggregation over digests only, and no more than ``MOST_OVERSIZED``
-    buckets can be oversized, as the limit grows with the corpus: only those prefixes are broadcast. Each
-    fitting bucket is then put into a trie whose terminals count. A bucket still oversized when its digest is used up
-    holds one text (or texts of one digest) over and over: it needs no trie, and is counted by a plain aggregation,
-    which sends one row per task, and joined back.
+    Records are partitioned by the first bytes of their canonical fields; a bucket of more than ``bucket_bytes`` is split by
+    further bytes, twice as many at each level, until every bucket fits or holds one text alone. The sizes of a level
+    are one map-side combined aggregation over the records still open, the oversized prefixes a table that Spark joins by its
+    own size check. Buckets that fit are put on shelves of about ``bucket_bytes``, each counted by a trie whose terminals are
+    counters. A single text larger than a bucket, with all its copies, is spread by record over many shelves; the
+    counters of its tries are then added up, so no task gets more than a shelf.
 
     Defined cases: a row with a null or blank field, or a null record, is left out; fields without any letter or
-    digit count as empty and equal; a record given twice counts as a copy of itself only once per further row;
-    no rows give no rows. Texts are read whole.
+    digit count as empty and equal; a record given twice counts once for each row; no rows give no rows. Texts are
+    read whole.
     """
-    rows = materialize(keyed(df, record, fields).withColumn("digest", F.xxhash64("canon")).withColumn("size", F.octet_length("canon") + 64), "canon")
+    size = F.octet_length("canon") + 64
+    rows = materialize(keyed(df, record, fields).select("record", "canon", F.substring("canon", 1, HEAD_BYTES).alias("head"), size.alias("size")), "canon")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = max(bucket_bytes, total // MOST_OVERSIZED)
-    depth = 1
-    while depth < DIGEST_BYTES and 256**depth * limit < 2 * total:
-        depth += 1
-    prefix = lambda k: F.shiftrightunsigned("digest", 8 * (DIGEST_BYTES - k)) if k < DIGEST_BYTES else F.col("digest")
-    spark, open_, fitting = df.sparkSession, rows, []
-    while depth <= DIGEST_BYTES:
+    shelves = max(1, -(-total // bucket_bytes))
+    prefix = lambda depth: F.substring("head" if depth <= HEAD_BYTES else "canon", 1, depth)
+    open_, depth, levels = rows, FIRST_BYTES, []
+    while True:
         sizes = open_.groupBy(prefix(depth).alias("prefix")).agg(F.sum("size").alias("bytes"))
-        over = [(r.prefix,) for r in sizes.where(F.col("bytes") > limit).select("prefix").collect()]
-        over = F.broadcast(spark.createDataFrame(over, "prefix bigint"))
-        at = open_.withColumn("prefix", prefix(depth))
-        fitting.append(at.join(over, "prefix", "left_anti").withColumn("depth", F.lit(depth)))
-        open_ = at.join(over, "prefix", "left_semi").drop("prefix")
-        if over.isEmpty():
-            open_ = None
+        over = materialize(sizes.where(F.col("bytes") > bucket_bytes).select("prefix"), "oversized")
+        whole, n = over.agg(F.count_if(F.octet_length("prefix") < depth), F.count("*")).first()
+        if n:
+            levels.append((depth, over))
+        if whole == n:  # none left, or single texts only: a prefix shorter than the depth is all of its text
             break
-        depth += 1
-    leaves = fitting[0]
-    for f in fitting[1:]:
-        leaves = leaves.unionByName(f)
-    out = leaves.select("depth", "prefix", "record", "digest", "canon").groupBy("depth", "prefix").applyInPandas(count_bucket, "first_index bigint, row_index bigint, nth bigint")
-    if open_ is not None:
-        firsts = open_.groupBy("canon").agg(F.min("record").alias("first_index"))
-        again = open_.join(firsts, "canon").select("first_index", F.col("record").alias("row_index"))
-        out = out.unionByName(again.withColumn("nth", F.when(F.col("row_index") == F.col("first_index"), 1).otherwise(2).cast("bigint")))
-    return out
+        open_ = open_.join(over, prefix(depth) == F.col("prefix"), "left_semi")
+        depth *= 2
+    at: DataFrame = rows
+    bucket: Column = F.struct(F.lit(depth).alias("depth"), prefix(depth).alias("prefix"))
+    hot: Column = F.lit(False)
+    for d, over in levels:
+        at = at.join(over.select(F.col("prefix").alias(f"over_{d}")), prefix(d) == F.col(f"over_{d}"), "left")
+        hot = hot | (F.octet_length(f"over_{d}") < d)
+    for d, _ in reversed(levels):
+        bucket = F.when(F.col(f"over_{d}").isNull(), F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix"))).otherwise(bucket)
+    hot = F.coalesce(hot, F.lit(False)) if levels else hot
+    shelf = F.pmod(F.when(hot, F.xxhash64("record", F.lit(1))).otherwise(F.xxhash64(bucket)), F.lit(shelves))
+    shelved = at.select("record", "canon", hot.alias("hot"), shelf.alias("shelf"))
+    parts = max(1, min(shelves, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    counted = shelved.repartition(parts, "hot", "shelf").groupBy("hot", "shelf").applyInArrow(count_bucket, "first_index bigint, row_index bigint, copies bigint, key binary")
+    if not levels:
+        return counted.drop("key")
+    counted = materialize(counted, "counted")
+    for _, over in levels:
+        discard(over)
+    discard(rows)
+    spread = counted.where("key IS NOT NULL")
+    sums = spread.where("copies IS NOT NULL").groupBy("key").agg(F.min("first_index").alias("least"), F.sum("copies").alias("sum"))
+    merged = spread.join(sums, "key").select(F.col("least").alias("first_index"), "row_index", F.when((F.col("row_index") == F.col("least")) & F.col("copies").isNotNull(), F.col("sum")).alias("copies"))
+    return counted.where("key IS NULL").drop("key").unionByName(merged)

@@ -44,8 +44,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """The collapsed records with their number of copies."""
-    return p5_groups(spark, d).groupBy("first_index").agg(F.count("*").alias("copies"))
+    """The collapsed records with their number of copies, as the tries counted them."""
+    return p5_groups(spark, d).where("copies IS NOT NULL").select("first_index", "copies")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
