@@ -1,17 +1,33 @@
 """Problem 7: items into containers of fixed capacity, by bin completion."""
 
 from bisect import bisect_right, insort
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 CHUNK_ITEMS = 4000
 ROUNDS = 3
 MOST_SPECS = 1000
-SEARCH_NODES = 20_000
+COPIES_AT_ONCE = 10_000
+
+
+class Budget(NamedTuple):
+    """What the search of a chunk may spend; it ends with the best solution found, never with items left over.
+
+    ``steps``: fillings tried in all. ``nodes``: partial fillings looked at for one container, not counting the way to
+    the first filling. ``fillings``: fillings kept for one container. ``depth``: items of a filling, besides its largest, with
+    alternatives; behind them the largest item that fits is taken.
+    """
+
+    steps: int = 20_000
+    nodes: int = 400
+    fillings: int = 6
+    depth: int = 3
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -31,65 +47,78 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """Martello and Toth's bound L2: the volume bound, sharpened by the items too large to share a container."""
-    total, best = sum(sizes), -(-sum(sizes) // capacity)
-    big = [s for s in sizes if 2 * s > capacity]
-    rest = sorted(s for s in sizes if 2 * s <= capacity)
-    for a in sorted(set(rest)):
-        n1 = sum(s > capacity - a for s in big)
-        mid = [s for s in big if s <= capacity - a]
-        small = sum(s for s in rest if s >= a)
-        best = max(best, n1 + len(mid) + max(0, -(-(small - (len(mid) * capacity - sum(mid))) // capacity)))
-        if len(rest) > 400:
-            break
-    return max(best, len(big)) if total else 0
+    """Martello and Toth's bound L2 over all of its values: the volume bound, sharpened by the items too large to share a container."""
+    x = np.sort(np.asarray(sizes, np.int64))
+    x = x[x > 0]
+    if not len(x):
+        return 0
+    big, rest = x[2 * x > capacity], x[2 * x <= capacity]
+    a = np.concatenate([[0], np.unique(rest)])
+    upto = lambda v: np.concatenate([[0], np.cumsum(v)])
+    alone = np.searchsorted(big, capacity - a, "right")  # from here on a large item leaves no room for an item of size a
+    free = alone * capacity - upto(big)[alone]
+    small = rest.sum() - upto(rest)[np.searchsorted(rest, a)]
+    return int((len(big) + np.maximum(0, -(-(small - free) // capacity))).max())
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the items of ``b`` can be put, whole, into spaces of the sizes of ``a``: then ``a`` is never the worse filling."""
+    if sum(b) > sum(a):
+        return False
+
+    def go(k: int, room: tuple[int, ...]) -> bool:
+        if k == len(b):
+            return True
+        return any(r >= b[k] and go(k + 1, (*room[:j], r - b[k], *room[j + 1 :])) for j, r in enumerate(room) if r not in room[:j])
+
+    return go(0, a)
 
 
-def completions(count: dict[int, int], order: list[int], room: int, nodes: list[int], most: int = 6) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` from the multiset ``count``, the fullest first; none of them is dominated.
+def completions(count: dict[int, int], order: list[int], room: int, budget: Budget) -> list[tuple[int, ...]]:
+    """Undominated maximal fillings of ``room`` from the multiset ``count``, the fullest first; those found within the budget.
 
-    ``order`` holds the sizes, rising. Only maximal fillings are built (no remaining item would still fit), larger
-    items first; of two fillings of equal waste the one with the larger items, which leaves the smaller and handier ones,
-    comes first. An exact filling dominates all that follow, so the search ends there. ``nodes`` is the budget left.
+    ``order`` holds the sizes, rising. Larger items come first, so that of two fillings of equal waste the one that leaves
+    the smaller and handier items is met first. An exact filling that is a single item dominates all others, and ends
+    the search; a filling that another one dominates is left out.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    least_waste = room + 1
     stack: list[int] = []
+    nodes = budget.nodes
 
     def go(left: int, top: int) -> bool:
-        nonlocal least_waste
-        nodes[0] -= 1
+        nonlocal nodes
+        nodes -= bool(found)
         k = min(top, bisect_right(order, left)) - 1
         fits = False
         while k >= 0:
             s = order[k]
             if count[s]:
                 fits = True
-                # all that is still allowed could not fill more than this: the waste bound
                 count[s] -= 1
                 stack.append(s)
                 done = go(left - s, k + 1)
                 stack.pop()
                 count[s] += 1
-                if done or nodes[0] <= 0:
+                if done or nodes <= 0:
                     return True
-                if len(stack) >= 3:
-                    break  # deeper down only the largest item that fits is tried
+                if len(stack) >= budget.depth:
+                    break
             k -= 1
         if not fits:
-            if left < least_waste or len(found) < most:
-                found.append((left, tuple(stack)))
-                least_waste = min(least_waste, left)
-            if left == 0:
-                return True
+            found.append((left, tuple(stack)))
+            return left == 0
         return False
 
     go(room, len(order))
     found.sort(key=lambda f: f[0])
-    return [f for _, f in found[:most]] or [()]
+    out: list[tuple[int, ...]] = []
+    for _, f in found:
+        if len(out) < budget.fillings and f not in out and not any(len(f) + len(a) <= 12 and dominates(a, f) for a in out):
+            out.append(f)
+    return out or [()]
 
 
-def bin_completion(sizes: list[int], capacity: int, budget: int = SEARCH_NODES) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, budget: Budget = Budget()) -> list[list[int]]:
     """Positions of the items of each container; ``sizes`` fall, none exceeds ``capacity``, none is 0.
 
     Branch and bound over containers: the largest item left opens the next one, and its completions are tried,
@@ -111,7 +140,7 @@ def bin_completion(sizes: list[int], capacity: int, budget: int = SEARCH_NODES)
     chosen: list[tuple[int, ...]] = []
     options: list[list[tuple[int, ...]]] = []
     waste, left = 0, len(sizes)
-    steps = budget
+    steps = budget.steps
 
     def place(fill: tuple[int, ...], sign: int) -> None:
         nonlocal waste, left
@@ -126,7 +155,7 @@ def bin_completion(sizes: list[int], capacity: int, budget: int = SEARCH_NODES)
     def expand() -> list[tuple[int, ...]]:
         s = top()
         count[s] -= 1
-        got = completions(count, order, capacity - s, [400])
+        got = completions(count, order, capacity - s, budget)
         count[s] += 1
         return [(s, *f) for f in reversed(got)]
 
@@ -167,42 +196,46 @@ def bin_completion(sizes: list[int], capacity: int, budget: int = SEARCH_NODES)
     return incumbent
 
 
-def pack_chunk(capacity: int, sizes: list[int]) -> list[int]:
+def pack_chunk(capacity: int, sizes: list[int], budget: Budget = Budget()) -> list[int]:
     """Container number of each item of a chunk, in the order given; items of size 0 go to the first container."""
     order = sorted((k for k, s in enumerate(sizes) if s > 0), key=lambda k: -sizes[k])
     out = [0] * len(sizes)
-    for b, items in enumerate(bin_completion([sizes[k] for k in order], capacity)):
+    for b, items in enumerate(bin_completion([sizes[k] for k in order], capacity, budget)):
         for k in items:
             out[order[k]] = b
     return out
 
 
-def _pack(items: DataFrame, rnd: int, chunks: int) -> DataFrame:
+def _pack(items: DataFrame, rnd: int, chunks: int, budget: Budget) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["uid", "piece"], kind="stable").reset_index(drop=True)
         capacity = int(rows["capacity_tokens"].iloc[0])
-        into = pack_chunk(capacity, rows["n_tokens"].tolist())
+        into = pack_chunk(capacity, rows["n_tokens"].tolist(), budget)
         rows["container"] = [f"{rnd}.{key[1]}.{b}" for b in into]
         rows["filled"] = rows.groupby("container")["n_tokens"].transform("sum")
         return rows.drop(columns="chunk")
 
-    schema = "spec_name string, capacity_tokens int, uid bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, container string, filled bigint"
+    schema = "spec_name string, capacity_tokens int, uid string, doc_id bigint, piece int, first_token bigint, n_tokens bigint, container string, filled bigint"
     return items.withColumn("chunk", F.pmod(F.xxhash64("uid", "piece", F.lit(rnd)), F.lit(chunks))).groupBy("spec_name", "chunk").applyInPandas(run, schema)
 
 
-def fill_containers(items: DataFrame, specs: DataFrame, record: str = "doc_id", size: str = "n_tokens", chunk_items: int = CHUNK_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def fill_containers(items: DataFrame, specs: DataFrame, record: str = "doc_id", size: str = "n_tokens", chunk_items: int = CHUNK_ITEMS, rounds: int = ROUNDS, budget: Budget = Budget()) -> DataFrame:
     """(spec_name, capacity_tokens, container, doc_id, piece, first_token, n_tokens) of every item for every container size.
 
     An item larger than the capacity, and no other, is split: into pieces of exactly the capacity, each a full container
     of its own, and a remainder. Remainders and items are spread by hash over chunks of about ``chunk_items``, each
-    solved by bin completion; the items of containers with more than 1/64 of their room unused are gathered and packed
+    solved by bin completion within ``budget``; the items of containers with more than 1/64 of their room unused are gathered and packed
     again, in fewer chunks, so that the poor last containers of all chunks are filled from one another.
 
     Defined cases: a null size counts as 0, items of size 0 (empty texts) use no room but are put in a container; a null record
     keeps its place; repeated rows are items of their own; specs of null or non-positive capacity are left out, repeated
     ones count once; no items give no rows.
     """
-    sized = materialize(items.select(F.monotonically_increasing_id().alias("uid"), F.col(record).cast("bigint").alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")), "sizes")
+    # items alike in record and size are told apart by a number: a name that no partitioning changes; very many of them are numbered in runs
+    alike = items.groupBy(F.col(record).cast("bigint").alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")).agg(F.count("*").alias("n"))
+    runs = alike.select("doc_id", "size", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES_AT_ONCE))).alias("run"))
+    runs = runs.repartition("doc_id", "size", "run").select("doc_id", "size", F.explode(F.sequence(F.col("run") * COPIES_AT_ONCE, F.least(F.col("n"), (F.col("run") + 1) * COPIES_AT_ONCE) - 1)).alias("nth"))
+    sized = materialize(runs.select(F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "nth").alias("uid"), "doc_id", "size"), "sizes")
     n = sized.count()
     kinds = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct().limit(MOST_SPECS + 1).collect()
     if len(kinds) > MOST_SPECS:
@@ -215,7 +248,7 @@ def fill_containers(items: DataFrame, specs: DataFrame, record: str = "doc_id",
     done, cols = [whole], whole.columns
     for rnd in range(rounds):
         chunks = max(1, -(-n // chunk_items))
-        packed = materialize(_pack(todo, rnd, chunks), "packed")
+        packed = materialize(_pack(todo, rnd, chunks, budget), "packed")
         poor = F.col("filled") < F.col("capacity_tokens") - F.floor(F.col("capacity_tokens") / 64)
         if chunks == 1 or rnd == rounds - 1:
             done.append(packed.select(cols))

@@ -96,9 +96,21 @@ def test_copies(spark):
     for limit in (1 << 20, 4000):
         got = copies.copy_groups(df, "row_index", ["Title", "Abstract"], bucket_bytes=limit).where("row_index <> first_index")
         assert rows(got, "first_index", "row_index") == sorted(want, key=repr)
+        counted = dict(rows(copies.copy_groups(df, "row_index", ["Title", "Abstract"], bucket_bytes=limit).where("copies IS NOT NULL"), "first_index", "copies"))
+        assert counted[3] == 3 and counted[10] == 2 and counted[1000] == 600 and counted[2000] == 1 and sum(counted.values()) == len(data) - 3
     assert copies.copy_groups(df.limit(0), "row_index", ["Title", "Abstract"]).count() == 0
 
 
+def test_counters_of_a_text_of_a_hundred_thousand_copies(spark):
+    hot = spark.range(100_000).select((F.col("id") + 5).alias("row_index"), F.lit("One title").alias("Title"), F.lit("The same text begins alike").alias("Abstract"))
+    rest = spark.range(2000).select((F.col("id") + 200_000).alias("row_index"), F.lit("One title").alias("Title"), F.concat(F.lit("The same text begins alike and goes on "), (F.col("id") % 1500).cast("string")).alias("Abstract"))
+    df = hot.unionByName(rest)
+    got = copies.copy_groups(df, "row_index", ["Title", "Abstract"], bucket_bytes=60_000)
+    want = df.groupBy("Abstract").agg(F.min("row_index").alias("first_index"), F.count("*").alias("copies"))
+    assert rows(got.where("copies IS NOT NULL"), "first_index", "copies") == rows(want, "first_index", "copies")
+    assert got.where("first_index = 5").count() == 100_000 and got.count() == 102_000
+
+
 # 2
 def corpus(spark, n=160, seed=5):
     rnd = random.Random(seed)
@@ -133,6 +145,8 @@ def test_near_duplicates_in_blocks_and_empty(spark, monkeypatch):
     df = spark.createDataFrame(data, "row_index bigint, Title string, Abstract string")
     whole = rows(similar.near_duplicates(df, "row_index", ["Title", "Abstract"], 0.6), "*")
     monkeypatch.setattr(similar, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(similar, "TOLD", 1)
+    monkeypatch.setattr(similar, "SLICE_ROWS", 7)
     assert rows(similar.near_duplicates(df, "row_index", ["Title", "Abstract"], 0.6), "*") == whole and whole
     assert similar.near_duplicates(df.limit(0), "row_index", ["Title", "Abstract"]).count() == 0
 
@@ -166,6 +180,24 @@ def test_large_groups_are_compared_in_tiles():
     assert want and want <= got
 
 
+def test_pairs_without_a_shared_rare_word_are_found_by_the_ring_alone():
+    rnd = random.Random(12)
+    base, sets = [f"c{k}" for k in range(120)], []
+    for k in range(40):
+        words = rnd.sample(base, 44)
+        other = [w for w in words if w not in rnd.sample(words, 3)] + rnd.sample([w for w in base if w not in words], 2)
+        sets += [{*words, f"u{k}"}, {*other, f"v{k}"}]
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    bags = similar.Bags(bags_ids(80), [" ".join(sorted(s)) for s in sets])
+    filt = similar.Filter(np.sort(similar.Bags(bags_ids(1), [" ".join(base)]).word), 0.7)
+    slack = filt.split(bags)[3]
+    reach = {s: (float(slack.min()), float(slack.max())) for s in range(100)}
+    docs, key, kind, doc = filt.rows(bags, reach)
+    found = lambda keep: {tuple(p) for p in similar.pairs_in(*similar._unpack([similar._blob(docs, key[keep], kind[keep], doc[keep])]), 0.7).tolist()}
+    assert len(want) >= 40 and want <= found(kind >= 0) and not want & found(kind == 0)
+    assert len(found(kind > 0)) < 3 * len(want)  # the chains let little else through
+
+
 def bags_ids(n):
     import pyarrow as pa
 
@@ -203,6 +235,35 @@ def test_packing_is_valid_and_no_worse_than_best_fit():
     assert len(packing.bin_completion([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 61)) == 3
 
 
+def test_bound_and_dominance():
+    def bound(sizes, capacity):  # by its definition
+        out = 0
+        for a in {0, *(s for s in sizes if 2 * s <= capacity)}:
+            alone = [s for s in sizes if s > capacity - a]
+            mid = [s for s in sizes if capacity - a >= s and 2 * s > capacity]
+            small = sum(s for s in sizes if 2 * s <= capacity and s >= a)
+            out = max(out, len(alone) + len(mid) + max(0, -(-(small - (len(mid) * capacity - sum(mid))) // capacity)))
+        return out
+
+    rnd = random.Random(11)
+    for _ in range(60):
+        capacity = rnd.randrange(5, 300)
+        sizes = [rnd.randint(1, capacity) for _ in range(rnd.choice([0, 3, 40, 900]))]
+        assert packing.lower_bound(sizes, capacity) == bound(sizes, capacity)
+    assert packing.dominates((7, 3), (4, 3, 3)) and packing.dominates((5,), (5,)) and not packing.dominates((7, 3), (4, 4)) and not packing.dominates((3, 3), (5,))
+    fills = packing.completions({2: 2, 3: 1, 4: 1, 6: 1}, [2, 3, 4, 6], 6, packing.Budget())
+    assert fills == [(6,)]
+    many = dict.fromkeys(range(1, 900), 1)
+    assert sum(packing.completions(many, sorted(many), 5000, packing.Budget(nodes=1))[0]) <= 5000
+
+
+def test_containers_do_not_depend_on_the_partitioning(spark):
+    items = spark.createDataFrame([(k % 40, (k * 37) % 90 + 1) for k in range(80)], "doc_id bigint, n_tokens bigint")
+    specs = spark.createDataFrame([("a", 100)], "spec_name string, capacity_tokens int")
+    one, two = (rows(packing.fill_containers(items.repartition(k), specs, chunk_items=20), "container", "doc_id", "piece", "n_tokens") for k in (1, 7))
+    assert one == two
+
+
 def test_containers(spark):
     sizes = [(k, (k * 37) % 90 + 1) for k in range(60)] + [(100, 250), (101, 0), (102, None), (100, 250), (None, 7)]
     items = spark.createDataFrame([(*s, "x") for s in sizes], "doc_id bigint, n_tokens bigint, chunk string")
@@ -225,18 +286,22 @@ def test_containers(spark):
 
 
 # 4
-def test_clusters(spark):
+def subject_texts():
     rnd = random.Random(4)
-    subjects = {t: [f"s{t}word{chr(97 + j)}" for j in range(6)] for t in range(4)}
+    subjects = {t: [f"s{'abcd'[t]}word{chr(97 + j)}" for j in range(6)] for t in range(4)}
     common = [f"common{chr(97 + j)}{chr(97 + k)}" for j in range(5) for k in range(8)]
-    low, data = 0, []
+    data = []
     for t, n in ((0, 60), (1, 40), (2, 25), (3, 12)):
         for _ in range(n):
             hint = t if rnd.random() < 0.75 else rnd.choice([-1, None, (t + 1) % 4])
-            data.append((low, " ".join(3 * rnd.sample([w.replace(str(t), "abcd"[t]) for w in subjects[t]], 4) + rnd.sample(common, 12)), hint, t))
-            low += 1
+            data.append((len(data), " ".join(3 * rnd.sample(subjects[t], 4) + rnd.sample(common, 12)), hint, t))
     data += [(900, None, 0, None), (901, " ", 1, None), (902, "n/a", 2, None), (None, "x", 1, None)] + [(910 + k, " ".join(3 * [f"own{chr(97 + k)}subject"] + rnd.sample(common, 12)), -1, None) for k in range(4)]
-    df = spark.createDataFrame([(a, b, c, "x") for a, b, c, _ in data], "doc_id bigint, Document string, Topic int, features string")
+    return data
+
+
+def test_clusters(spark):
+    data = subject_texts()
+    df = spark.createDataFrame([(a, b, c, "x", "y") for a, b, c, _ in data], "doc_id bigint, Document string, Topic int, vec string, record string")
     got = dict(rows(clusters.subject_clusters(df), "doc_id", "topic"))
     want = {i: t for i, _, _, t in data if t is not None}
     assert sum(got.get(i) == t for i, t in want.items()) >= 0.97 * len(want) and not {900, 901, 902, None} & set(got)
@@ -246,6 +311,27 @@ def test_clusters(spark):
     assert clusters.subject_clusters(df.withColumn("Topic", F.lit(None).cast("int"))).count() == 0
 
 
+def test_members_of_clusters_come_from_the_texts_and_hints_only_name_them(spark):
+    data = subject_texts()
+    df = spark.createDataFrame([(a, b, c) for a, b, c, _ in data], "doc_id bigint, Document string, Topic int")
+    whole = rows(clusters.subject_clusters(df), "doc_id", "topic")
+    lost = df.withColumn("Topic", F.when(F.col("doc_id") % 2 == 0, -1).otherwise(F.col("Topic")))
+    assert rows(clusters.subject_clusters(lost), "doc_id", "topic") == whole
+    vecs = clusters.vectors(df.withColumn("Topic", F.lit(None).cast("int")), "doc_id", "Document", "Topic")
+    n = vecs.count()
+    seeds, found = clusters.seeding(vecs, n, 11), clusters.kmeans(vecs, n)
+    of = {r.record: r.cluster for r in clusters.nearest(vecs, found).collect()}
+    assert len(seeds) > 12 and len(found) == 4  # k-means makes the four subjects of many more seeds
+    assert len({(of[i], t) for i, _, _, t in data if t is not None and i in of}) == 4
+
+
+def test_seeds_do_not_depend_on_the_partitioning(spark):
+    df = spark.createDataFrame([(a, b, c) for a, b, c, _ in subject_texts()], "doc_id bigint, Document string, Topic int")
+    vecs = clusters.vectors(df, "doc_id", "Document", "Topic")
+    one, many = (clusters.seeding(vecs.repartition(k), 137, 3) for k in (1, 5))
+    assert one.shape == many.shape and np.allclose(one, many)
+
+
 # 8
 BAD = ["see {{ author }} here", "In ${YEAR} cows", "[TBC - breed]", "HTTP status 503", "Error 404: no se ha encontrado la página solicitada.", "Veuillez activer JavaScript pour afficher le résumé.", "Text text text text", "Lorem pecus velit dolor", "Traceback (most recent call last):", "__TITLE_PLACEHOLDER__", "please enable js.", "Active content is required for the article viewer.", "Please enable\nJavaScript to go on", "Cows [Insert abstract here. At most 250 words.] ate"]
 GOOD = ["The web questionnaire required JavaScript, so 9 older farmers answered by phone.", "Costs rose from $5 to $7 per case [95% interval].", "The set {calved, open, dry} was used.", "The marker <|endoftext|> separated the reports.", "Vitamin E 400 IU was given.", "The standard error was 404, and 3 records were not found in the herd book.", "<p>Milk &amp; cows</p>", "Access to pasture was denied to 9 herds.", "", " ", None]
