@@ -321,8 +321,9 @@ def test_members_of_clusters_come_from_the_texts_and_hints_only_name_them(spark)
     n = vecs.count()
     seeds, found = clusters.seeding(vecs, n, 11), clusters.kmeans(vecs, n)
     of = {r.record: r.cluster for r in clusters.nearest(vecs, found).collect()}
-    assert len(seeds) > 12 and len(found) == 4  # k-means makes the four subjects of many more seeds
-    assert len({(of[i], t) for i, _, _, t in data if t is not None and i in of}) == 4
+    assert len(seeds) > 20 and 4 <= len(found) <= 8  # k-means makes few clusters of many seeds, each of one subject
+    pure = {(of[i], t) for i, _, _, t in data if t is not None and i in of}
+    assert len(pure) == len({c for c, _ in pure}) and len({t for _, t in pure}) == 4
 
 
 def test_seeds_do_not_depend_on_the_partitioning(spark):
@@ -401,12 +402,13 @@ def test_residue(spark):
 def test_the_classifier_finds_wordings_and_placeholders_without_a_pattern(spark):
     rnd = random.Random(9)
     known = [" Please enable JavaScript to view this abstract.", " Die @@breed@@ betrug 3.", " The value of @@herd@@ was kept.", " JavaScript is required to view this page."]
+    texts = lambda data: residue._texts(spark.createDataFrame(data, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
     data = herd_texts(300, rnd, known, 4)
-    data += [(1000 + k, data[4 * k + 1][1] + new, "host3") for k, new in enumerate([" JavaScript is needed to view this page.", " Use JavaScript to view the abstract here.", " The value of ~~herd~~ was kept."])]
-    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
-    assert not any(residue.Labels().label(residue.segments(data[-k][1])) == [True] for k in (1, 2, 3))
-    got = {r.doc_id for r in residue.residue(df).collect()}
-    assert {1000, 1001, 1002} <= got and {k for k in range(300) if k % 4 == 0} <= got and len(got) <= 80
+    model = residue.train(residue.draw(texts(data), residue.Labels()))[0]
+    new = [data[1][1] + " JavaScript is needed to view this page.", data[2][1] + " Use JavaScript to view the abstract here.", data[3][1] + " The value of ~~herd~~ was kept."]
+    assert not any(any(residue.Labels().label(residue.segments(t))) for t in new)
+    got = {r.record: r.score for r in residue.score(texts([(1000 + k, t, "h") for k, t in enumerate(new)] + data), model).collect()}
+    assert min(got[k] for k in (1000, 1001, 1002)) >= residue.LEAST_THRESHOLD > max(got[k] for k in range(300) if k % 4)
 
 
 def test_residue_of_one_held_out_host(spark):
