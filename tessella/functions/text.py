@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Function words left out of term weights.
+#: Function words left out of term weights.
 STOP_WORDS = "a about after all also an and any are as at be been before between both but by can could did do does during each few for from further had has have he her here how if in into is it its may more most no nor not of on only or other our out over same she should so some such than that the their then there these they this those through to under until up was we were what when where which while who with would you your".split()
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\s\p{Z}]+"
@@ -50,8 +50,18 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~F.array_contains(stop, w))
 
 
+#: Latin letters with accents and the letters beneath them.
+ACCENTED, BARE = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöōőŕřśšşťùúûüūůűýÿźżž", "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorrssstuuuuuuuyyzzz"
+
+
+def bare(text: Column) -> Column:
+    """Lower case without the accents of Latin letters; null is ''."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, BARE)
+
+
 def simple_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))
+    """Runs of three or more letters and hyphens that begin with a letter, without accents."""
+    return F.regexp_extract_all(bare(text), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -8,10 +8,17 @@ from ..scratch import discard, materialize
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of least ``order`` for each value of ``keys``; null keys are equal. One map-side combined aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("first"))
-    return least.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in df.columns])
+    """The row of least ``order``, which is unique, for each value of ``keys``; null keys are equal.
+
+    Only digests of the keys and numbers are shuffled: one map-side combined aggregation, then a semi-join on ``order``.
+    """
+    least = df.groupBy(digest(*keys)).agg(F.min(order).alias(order))
+    return df.join(least.select(order), order, "left_semi").select(df.columns)
+
+
+def digest(*keys: str) -> Column:
+    """SHA-256 of the keys; a null differs from an empty string."""
+    return F.sha2(F.to_json(F.struct(*keys)), 256)
 
 
 def term_counts(df: DataFrame, record: str, text: str) -> DataFrame:
@@ -43,14 +50,16 @@ def similar_pairs(df: DataFrame, record: str, text: str, threshold: float = 0.7,
     """
     vec = materialize(tfidf(df, record, text, max_df).withColumnRenamed(record, "id"), "tfidf")
     packed = vec.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"))
-    packed = packed.withColumn("same", F.xxhash64(F.transform("terms", lambda t: F.struct(t["term"], F.round(t["weight"], 9)))))
+    packed = packed.withColumn("same", F.sha2(F.to_json(F.transform("terms", lambda t: F.struct(t["term"], F.round(t["weight"], 9)))), 256))
     members = materialize(packed, "packed")
     reps = members.groupBy("same").agg(F.min_by("terms", "id").alias("terms"))
     square = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"])
-    scan = F.aggregate("terms", F.struct(F.array().cast("array<string>").alias("p"), square.alias("rest")), lambda s, t: F.when(s["rest"] >= threshold * threshold - 1e-9, F.struct(F.array_append(s["p"], t["term"]).alias("p"), (s["rest"] - t["weight"] * t["weight"]).alias("rest"))).otherwise(s))
-    prefix = reps.select("same", F.explode(scan["p"]).alias("term"))
-    left, right = prefix.toDF("a", "term"), prefix.toDF("b", "term")
-    cand = left.join(right, "term").where("a < b").select("a", "b").distinct()
+    scan = F.aggregate("terms", F.struct(F.array().cast("array<struct<term:string,weight:double>>").alias("p"), square.alias("rest")), lambda s, t: F.when(s["rest"] >= threshold * threshold - 1e-9, F.struct(F.array_append(s["p"], F.struct(t["term"].alias("term"), t["weight"].alias("weight"))).alias("p"), (s["rest"] - t["weight"] * t["weight"]).alias("rest"))).otherwise(s))
+    prefix = reps.select("same", scan.alias("s")).select("same", F.sqrt(F.greatest(F.col("s.rest"), F.lit(0.0))).alias("rest"), F.explode("s.p").alias("t")).select("t.term", "same", "t.weight", "rest")
+    left, right = prefix.toDF("term", "a", "wa", "ra"), prefix.toDF("term", "b", "wb", "rb")
+    # what both prefixes share, and at most the length of the longer rest: the rest of one meets the other, of length 1
+    met = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    cand = met.where(F.col("part") + F.greatest("ra", "rb") >= threshold - 1e-9).select("a", "b")
     weights = reps.select("same", F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["weight"]))).alias("m"))
     sim = F.aggregate(F.map_keys("m1"), F.lit(0.0), lambda s, k: s + F.coalesce(F.col("m1")[k] * F.col("m2")[k], F.lit(0.0)))
     scored = cand.join(weights.toDF("a", "m1"), "a").join(weights.toDF("b", "m2"), "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -79,10 +88,11 @@ def components(pairs: DataFrame, a: str = "id_1", b: str = "id_2", max_rounds: i
     """(id, component): groups of records linked directly or indirectly, named by their smallest id.
 
     Alternating large and small stars: each round joins every vertex to the least of its neighbours, until nothing
-    moves. Rounds are written tables.
+    moves: until the number and the sums of two hashes of the links stay. Rounds are written tables.
     """
+    mark = lambda e: tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]).first())
     edges = materialize(pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    ids = pairs.select(F.explode(F.array(a, b)).alias("id")).distinct()
+    ids, old = pairs.select(F.explode(F.array(a, b)).alias("id")).distinct(), mark(edges)
     for _ in range(max_rounds):
         ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -90,10 +100,9 @@ def components(pairs: DataFrame, a: str = "id_1", b: str = "id_2", max_rounds: i
         down = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(down, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").unionByName(down.select(F.col("x").alias("v"), F.col("m").alias("u")))
         new = materialize(small.select("u", "v").distinct(), "edges")
-        moved = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
         discard(edges)
-        edges = new
-        if not moved:
+        edges, before, old = new, old, mark(new)
+        if old == before:
             break
     else:
         raise RuntimeError(f"links still move after {max_rounds} rounds")
@@ -118,9 +127,11 @@ def threshold_metrics(pairs: DataFrame, score: str, label: str, grid: list[float
     """(threshold, tp, fp, fn, tn, predicted, precision, recall, f1, fbeta) of 'score >= threshold' on pairs labelled 0 or 1.
 
     Each pair is counted once, at the interval of thresholds that its score passes; the counts are then summed over
-    the grid, not the pairs multiplied by it.
+    the grid, not the pairs multiplied by it. A labelled pair whose score is null, NaN or no number is an error.
     """
-    good = pairs.select(F.col(score).try_cast("double").alias("s"), F.col(label).try_cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("s").isNotNull())
+    s = F.col(score).try_cast("double")
+    readable = F.when(s.isNull() | F.isnan(s), F.raise_error(F.lit("a labelled pair has no readable score"))).otherwise(s)
+    good = pairs.select(F.col(score), F.col(label).try_cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0)).select(readable.alias("s"), "y")
     step = good.select(F.aggregate(F.array(*map(F.lit, grid)), F.lit(0), lambda n, t: n + (F.col("s") >= t).cast("int")).alias("k"), "y").groupBy("k").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     t = step.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(grid)], "i int, threshold double")
     at = F.coalesce(F.col("k") >= F.col("i"), F.lit(False))
@@ -137,7 +148,3 @@ def select_threshold(metrics: DataFrame, target: float = 0.99) -> DataFrame:
     ok = (F.col("precision") >= target) & (F.col("predicted") > 0)
     best = lambda c: F.max_by("threshold", F.struct(F.col(c), -F.col("threshold")))
     return metrics.agg(F.min(F.when(ok, F.col("threshold"))).alias("eligible"), best("f1").alias("best_f1"), best("fbeta").alias("best_fbeta")).select(F.coalesce("eligible", "best_fbeta").alias("threshold"), F.col("eligible").isNotNull().alias("meets_target"), "best_f1", "best_fbeta")
-
-
-def ratio_of(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b)

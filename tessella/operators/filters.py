@@ -32,6 +32,19 @@ def curate(docs: DataFrame, corpus: DataFrame, curation: DataFrame, text: str, d
 
     A text in a kept and in a removed topic is kept for all its rows; null texts never match.
     """
+    key = lambda c: F.sha2(squeeze(F.col(c)), 256)
+    kept = kept_documents(docs, curation, topic).select(key(doc_text).alias("__text")).where("__text IS NOT NULL").distinct()
+    return corpus.withColumn("__text", key(text)).join(kept, "__text", "left_semi").drop("__text")
+
+
+def kept_documents(docs: DataFrame, curation: DataFrame, topic: str = "Topic") -> DataFrame:
+    """The documents of topics that are not marked for removal."""
     gone = curation.where(F.lower(squeeze(F.col("status"))) == "remove").select(F.col("topic").alias("__t")).distinct()
-    kept = docs.join(gone, F.col(topic) == F.col("__t"), "left_anti").select(squeeze(F.col(doc_text)).alias("__text")).where("__text IS NOT NULL").distinct()
-    return corpus.withColumn("__text", squeeze(F.col(text))).join(kept, "__text", "left_semi").drop("__text")
+    return docs.join(gone, F.col(topic) == F.col("__t"), "left_anti")
+
+
+def match_rate(docs: DataFrame, corpus: DataFrame, curation: DataFrame, text: str, doc_text: str = "Document", topic: str = "Topic") -> DataFrame:
+    """(kept_documents, distinct_texts, matched, match_rate): how many rows of ``corpus`` the kept documents account for, in per cent of these documents."""
+    kept = kept_documents(docs, curation, topic).agg(F.count("*").alias("kept_documents"), F.countDistinct(F.sha2(squeeze(F.col(doc_text)), 256)).alias("distinct_texts"))
+    found = curate(docs, corpus, curation, text, doc_text, topic).agg(F.count("*").alias("matched"))
+    return kept.crossJoin(found).withColumn("match_rate", F.round(F.try_divide(100.0 * F.col("matched"), F.col("kept_documents")), 6))

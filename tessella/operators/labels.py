@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut, squeeze, word_limit
 
+#: The directions and the fields of an answer; the limits and defaults in ``normalize`` are fixed as well.
 DIRECTIONS = ["positive", "negative", "none", "unclear"]
 ANSWER = "refined_title string, most_relevant_search_topic string, cluster_summary string, factor_associations array<struct<factor:string,outcome_or_result:string,direction:string,brief_evidence:string>>, link_text string, tags array<string>, confidence string, specificity_score string"
 
@@ -30,22 +31,30 @@ def prompt(words: Column, texts: Column, chars: int = 900) -> Column:
 
 
 def extract_json(answer: Column) -> Column:
-    """What stands between json tags, else from the first to the last brace, else the whole."""
+    """What stands between json tags, else from the first brace to the one that closes it, else the whole."""
     tagged = F.regexp_extract(answer, r"(?is)<json>(.*?)</json>", 1)
-    braced = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+    ends = F.split(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), r"(?<=\})")  # pieces that end with a closing brace
+    opened = lambda t: F.length(t) - F.length(F.replace(t, F.lit("{")))
+    closed = lambda t: F.length(t) - F.length(F.replace(t, F.lit("}")))
+    nothing = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
+    taken = F.aggregate(ends, nothing, lambda s, p: F.when(s["done"], s).otherwise(F.struct(F.concat(s["t"], p).alias("t"), ((opened(F.concat(s["t"], p)) == closed(F.concat(s["t"], p))) & (closed(p) > 0)).alias("done"))))
+    braced = F.when(taken["done"], taken["t"]).otherwise("")
     return squeeze(F.when(tagged != "", tagged).when(braced != "", braced).otherwise(answer))
 
 
-def score_1_5(value: Column, whole_only: bool) -> Column:
-    """A score clamped to 1..5, 3 if it is none; decimals are cut, or with ``whole_only`` count as none."""
+def score_1_5(value: Column, whole_only: Column) -> Column:
+    """A score clamped to 1..5, 3 if it is none; decimals are cut, or where ``whole_only`` (a score written as a string) count as none."""
     v = squeeze(value)
-    number = F.when(v.rlike(r"^[0-9]+$" if whole_only else r"^-?[0-9]+(?:\.[0-9]+)?$"), v.cast("double").cast("int"))
+    number = F.when(v.rlike(r"^[+-]?[0-9]+$") | (~whole_only & v.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$")), v.cast("double").cast("int"))
     return F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(number, F.lit(3))))
 
 
 def normalize(df: DataFrame, answer: str, version: int = 1) -> DataFrame:
     """The columns of a label from a model's answer, with its defaults and limits; what cannot be read gives the defaults."""
-    a = F.from_json(extract_json(F.col(answer)), ANSWER)
+    body = extract_json(F.col(answer))
+    a = F.from_json(body, ANSWER)
+    quoted = lambda f: F.coalesce(body.rlike(rf'"{f}"\s*:\s*"'), F.lit(False)) if version == 1 else F.lit(True)
+    listed = F.coalesce(a["tags"], F.split(F.from_json(body, "tags string")["tags"], ","))
     text = lambda f, n, default="": F.substring(squeeze(F.coalesce(a[f], F.lit(default))), 1, n)
     direction = lambda x: F.when(F.lower(squeeze(x)).isin(DIRECTIONS), F.lower(squeeze(x))).otherwise("unclear")
     side, proof = (1_000_000, 160) if version == 1 else (200, 300)
@@ -53,12 +62,12 @@ def normalize(df: DataFrame, answer: str, version: int = 1) -> DataFrame:
         F.slice(F.coalesce(a["factor_associations"], F.array().cast("array<struct<factor:string,outcome_or_result:string,direction:string,brief_evidence:string>>")), 1, 8),
         lambda x: F.struct(F.substring(squeeze(F.coalesce(x["factor"], F.lit(""))), 1, side).alias("factor"), F.substring(squeeze(F.coalesce(x["outcome_or_result"], F.lit(""))), 1, side).alias("outcome_or_result"), direction(x["direction"]).alias("direction"), F.substring(squeeze(F.coalesce(x["brief_evidence"], F.lit(""))), 1, proof).alias("brief_evidence")),
     )
-    tags = F.slice(F.filter(F.transform(F.coalesce(a["tags"], F.array().cast("array<string>")), lambda t: F.lower(squeeze(t))), lambda t: t != ""), 1, 10)
+    tags = F.slice(F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda t: F.lower(squeeze(t))), lambda t: t != ""), 1, 10)
     out = df.withColumns({
         "refined_title": text("refined_title", 100, "unlabeled-topic"), "search_topic": text("most_relevant_search_topic", 250), "summary": text("cluster_summary", 2000) if version == 1 else word_limit(F.coalesce(a["cluster_summary"], F.lit("")), 250),
-        "associations_json": F.to_json(links), "associations": F.size(links), "link_text": text("link_text", 500 if version == 1 else 400), "tags": F.array_join(tags, ", "), "confidence": score_1_5(a["confidence"], version == 2),
+        "associations_json": F.to_json(links), "associations": F.size(links), "link_text": text("link_text", 500 if version == 1 else 400), "tags": F.array_join(tags, ", "), "confidence": score_1_5(a["confidence"], quoted("confidence")),
     })
-    return out.withColumn("specificity_score", score_1_5(a["specificity_score"], False)) if version == 1 else out
+    return out.withColumn("specificity_score", score_1_5(a["specificity_score"], quoted("specificity_score"))) if version == 1 else out
 
 
 def extractive_answers(topics: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -71,7 +80,7 @@ def extractive_answers(topics: DataFrame, sizes: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(
         F.array_join(F.slice(w, 1, 3), " ").alias("refined_title"), F.element_at(w, 1).alias("most_relevant_search_topic"), F.concat(F.lit("About "), F.array_join(w, ", "), F.lit(".")).alias("cluster_summary"),
         F.array(F.struct(F.try_element_at(w, F.lit(2)).alias("factor"), F.element_at(w, 1).alias("outcome_or_result"), F.lit("Positive ").alias("direction"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" texts")).alias("brief_evidence"))).alias("factor_associations"),
-        F.array_join(w, " ").alias("link_text"), F.transform(w, F.upper).alias("tags"), F.length(F.coalesce("n", F.lit(0)).cast("string")).cast("string").alias("confidence"), F.concat(F.length(F.coalesce("n", F.lit(0)).cast("string")).cast("string"), F.lit(".7")).alias("specificity_score"),
+        F.array_join(w, " ").alias("link_text"), F.transform(w, F.upper).alias("tags"), F.length(F.coalesce("n", F.lit(0)).cast("string")).cast("string").alias("confidence"), (F.length(F.coalesce("n", F.lit(0)).cast("string")) + 0.5).alias("specificity_score"),
     ))
     return topics.join(sizes, "topic", "left").select("topic", F.concat(F.lit("Here it is: <JSON> "), body, F.lit(" </JSON> Done.")).alias("answer"))
 

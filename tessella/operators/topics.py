@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, ngrams, simple_words
+from ..scratch import materialize
 
 
 def term_table(docs: DataFrame, topic: str, text: str, n: int = 1) -> DataFrame:
@@ -49,30 +50,62 @@ def coverage(docs: DataFrame, topic: str) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), n.alias("outliers"), F.round(1 - F.try_divide(n, F.count("*")), 6).alias("coverage"), F.countDistinct(F.when(~out, F.col(topic))).alias("topics"))
 
 
+def window_counts(tokens: DataFrame, wanted: list[str], window: int) -> DataFrame:
+    """(x, y, c): in how many windows of each batch of token lists the terms x <= y of ``wanted`` stand together, a term with itself as well; the number of windows without terms.
+
+    A text's windows by its wanted terms are one small matrix; only counts leave the task, one row for each pair and batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    place = {t: k for k, t in enumerate(wanted)}
+
+    def run(batches):
+        for b in batches:
+            total, codes, n = 0, [], []
+            for text in b.column(0).to_pylist():
+                last = max(0, len(text) - window)
+                total += last + 1
+                hits = [(p, place[t]) for p, t in enumerate(text) if t in place]
+                if not hits:
+                    continue
+                terms = sorted({k for _, k in hits})
+                at = {k: j for j, k in enumerate(terms)}
+                held = np.zeros((last + 1, len(terms)), np.float32)
+                for p, k in hits:
+                    held[min(last, max(0, p - window + 1)) : min(p, last) + 1, at[k]] = 1
+                both = np.triu(held.T @ held)
+                x, y = np.nonzero(both)
+                ids = np.array(terms, np.int64)
+                codes.append(ids[x] * len(wanted) + ids[y])
+                n.append(both[x, y])
+            code, k = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
+            c = np.bincount(k, np.concatenate([np.zeros(0), *n]), len(code)).astype(np.int64)
+            x, y = [[wanted[j] for j in part.tolist()] for part in np.divmod(code, max(1, len(wanted)))]
+            yield pa.RecordBatch.from_arrays([pa.array([*x, None], pa.string()), pa.array([*y, None], pa.string()), pa.array([*c.tolist(), total], pa.int64())], ["x", "y", "c"])
+
+    return tokens.mapInArrow(run, "x string, y string, c bigint")
+
+
 def coherence(docs: DataFrame, record: str, text: str, words: DataFrame, window: int = 10, no_below: int | None = None, no_above: float = 0.9) -> DataFrame:
     """(coherence, topics, pairs): mean NPMI of the word pairs of each topic over sliding windows of ``window`` words.
 
-    Only topic words in the vocabulary count, topics of two such words at least, and two such topics at least. Windows are
-    reduced to the topic words they hold before any pair is formed.
+    Only topic words in the vocabulary count, topics of two such words at least, and two such topics at least. Windows
+    are made in the task that reads the text; only counts of words and pairs are shuffled. The topic words come to the driver.
     """
     tok = docs.select(F.col(record).alias("id"), simple_words(F.col(text)).alias("t"))
     n = tok.agg(F.count("*").alias("n"))
     df = tok.select("id", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     low = F.lit(no_below) if no_below else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("n") * 0.001)))
-    asked = words.select("topic", "term").distinct()
+    asked = materialize(words.select("topic", "term").distinct(), "asked")
     vocab = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(n)).where((F.col("df") >= low) & (F.col("df") <= no_above * F.col("n"))).select("term")
     asked = asked.join(vocab, "term", "left_semi")
     good = asked.groupBy("topic").agg(F.count("*").alias("k")).where("k >= 2").select("topic")
-    asked = asked.join(good, "topic", "left_semi")
-    wanted = asked.select("term").distinct()
-    at = tok.select("id", F.size("t").alias("n"), F.posexplode("t").alias("p", "term")).join(wanted, "term")
-    first = F.greatest(F.lit(0), F.col("p") - (window - 1))
-    last = F.least(F.col("p"), F.greatest(F.lit(0), F.col("n") - window))
-    seen = at.select("id", "term", F.explode(F.sequence(first, F.greatest(first, last))).alias("w")).distinct()
-    windows = tok.agg(F.sum(F.greatest(F.lit(1), F.size("t") - (window - 1))).alias("all"))
-    one = seen.groupBy("term").agg(F.count("*").alias("c"))
-    bag = seen.groupBy("id", "w").agg(F.array_sort(F.collect_list("term")).alias("b")).where(F.size("b") > 1)
-    pair = bag.select(F.explode("b").alias("x"), "b").select("x", F.explode(F.filter("b", lambda y: y > F.col("x"))).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
+    asked = materialize(asked.join(good, "topic", "left_semi"), "wanted")
+    counts = materialize(window_counts(tok.select("t"), [r.term for r in asked.select("term").distinct().orderBy("term").collect()], window), "windows")
+    windows = counts.where("x IS NULL").agg(F.sum("c").alias("all"))
+    summed = counts.where("x IS NOT NULL").groupBy("x", "y").agg(F.sum("c").alias("c"))
+    one, pair = summed.where("x = y").select(F.col("x").alias("term"), "c"), summed.where("x < y")
     a, b = asked.toDF("topic", "x"), asked.toDF("topic", "y")
     q = a.join(b, "topic").where("x < y").join(one.toDF("x", "cx"), "x").join(one.toDF("y", "cy"), "y").join(pair, ["x", "y"], "left").crossJoin(F.broadcast(windows))
     p = F.coalesce("c", F.lit(0)) / F.col("all")

@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicon import exclude_pattern, include_pattern
+from ..functions.lexicon import exclude_pattern
 from ..operators import dedup, filters, labels, tokens, topics, vectors
+from ..scratch import materialize
 from ..sources.tables import harmonize, table
 
 
@@ -42,7 +43,7 @@ def exact_dedup(s, d):
 
 
 def exact_dedup_stats(s, d):
-    one = _corpus(s, d).groupBy("Title", "Abstract").agg(F.count("*").alias("n"))
+    one = _corpus(s, d).groupBy(dedup.digest("Title", "Abstract")).agg(F.count("*").alias("n"))
     return one.agg(F.sum("n").alias("total"), F.count("*").alias("kept")).withColumn("removed", F.col("total") - F.col("kept"))
 
 
@@ -227,18 +228,21 @@ def topic_keywords(s, d):
     return t.select(F.col("Topic").alias("topic"), F.posexplode(labels.keywords(F.col("Representation"), None, F.col("Name"))).alias("pos", "word"))
 
 
+GRID, GRID_WORDS = [(low, high) for low in (0.0, 0.05, 0.5) for high in (0.3, 0.6, 1.0)], (5, 10)
+
+
 def grid_ranked(s, d):
-    """Vocabulary bounds and word numbers tried on the topics, ranked by diversity and mean score; terms are counted once."""
-    terms = _terms(s, d).persist()
+    """Vocabulary bounds and word numbers tried on the topics, ranked by diversity and mean score; terms are counted once. Points whose bounds exclude everything are left out."""
+    terms = materialize(_terms(s, d), "terms")
     cov = topics.coverage(_docs(s, d), "Topic").select("coverage")
     runs = None
-    for low in (0.0, 0.05):
-        for high in (0.3, 0.6, 1.0):
+    for low, high in GRID:
+        if low < high:
             scored = topics.top_words(topics.ctfidf(topics.bounded(terms, low, high)), 10)
-            for n in (5, 10):
+            for n in GRID_WORDS:
                 w = scored.where(F.col("rank") <= n)
                 one = w.agg(F.round(F.countDistinct("term") / F.count("*"), 6).alias("diversity"), F.round(F.avg("score"), 6).alias("mean_score"), F.countDistinct("topic").alias("topics"))
-                one = one.select(F.lit(low).alias("min_df"), F.lit(high).alias("max_df"), F.lit(n).alias("words"), "*").crossJoin(cov)
+                one = one.select(F.lit(f"min_df={low}|max_df={high}|words={n}").alias("tag"), F.lit(low).alias("min_df"), F.lit(high).alias("max_df"), F.lit(n).alias("words"), "*").crossJoin(cov)
                 runs = one if runs is None else runs.unionByName(one)
     return topics.rank_runs(runs, ["diversity", "mean_score", "coverage"])
 
@@ -259,13 +263,17 @@ def curate_stats(s, d):
     return a.crossJoin(kept.agg(F.count("*").alias("kept"))).withColumn("retention", F.round(F.try_divide("kept", "total"), 4))
 
 
+def match_rate(s, d):
+    return filters.match_rate(_docs(s, d), _docs(s, d), table(s, d, "curation_map"), "Document")
+
+
 def run_comparison(s, d):
     docs = _docs(s, d)
     kept = filters.curate(docs, docs, table(s, d, "curation_map"), "Document")
     out = None
     for name, x in (("all", docs), ("curated", kept)):
         w = topics.top_words(topics.ctfidf(topics.bounded(topics.term_table(x, "Topic", "Document"), 0.0, 0.5)), 10)
-        one = topics.coverage(x, "Topic").crossJoin(topics.diversity(w)).select(F.lit(name).alias("run"), "*")
+        one = topics.coverage(x, "Topic").crossJoin(topics.diversity(w)).crossJoin(topics.coherence(x, "doc_id", "Document", w).select("coherence")).select(F.lit(name).alias("run"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -315,7 +323,7 @@ QUERIES = {
         tfidf_df, tfidf_terms, similar_pairs, similar_pairs_topk, pair_enrich, dedup_components, dedup_kept, dedup_drop_log, log_components, dedup_stats, threshold_metrics, threshold_selected,
         token_stats, token_exceeding, token_truncate, token_chunks, chunk_embeddings, l2_normalize, topic_centroids, representative_docs, alignment_counts, silhouette_euclid, pca_project,
         ctfidf_terms, topic_top_words, topic_ngrams, topic_diversity, topic_coverage, topic_mmr, coherence_npmi, topic_keywords, grid_ranked, grid_best,
-        curate_semi_join, curate_stats, run_comparison, label_normalize_v1, label_normalize_v2, label_merge, score_histogram, label_confidence_report, label_prompts,
+        curate_semi_join, curate_stats, match_rate, run_comparison, label_normalize_v1, label_normalize_v2, label_merge, score_histogram, label_confidence_report, label_prompts,
     )
 }
 
@@ -323,7 +331,8 @@ _q = lambda t: "'" + t.replace("'", "''") + "'"
 _SQUEEZE = lambda c: rf"regexp_replace(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g')"
 _STOP = ", ".join(map(_q, X.STOP_WORDS))
 _YEAR = "CASE WHEN regexp_extract(Year, '((?:19|20)[0-9]{2})', 1) <> '' THEN CAST(regexp_extract(Year, '((?:19|20)[0-9]{2})', 1) AS INTEGER) WHEN TRY_CAST(Year AS DOUBLE) BETWEEN 1900 AND 2100 THEN CAST(floor(TRY_CAST(Year AS DOUBLE)) AS INTEGER) END"
-_FLAGS = f"""WITH f AS (SELECT doc_id, coalesce(regexp_matches(text, {_q(include_pattern())}), false) AS included, coalesce(regexp_matches(text, {_q(exclude_pattern())}), false) AS excluded FROM documents)"""
+_RISK = r"(?i)risk factor|relative risk|risk ratio|rate ratio|odds ratio|prevalence ratio|associat|confidence interval|cohort study|p[-\s\p{Z}]?value|95%?[\s\p{Z}]*ci|ci[\s\p{Z}]*95|case[-\s\p{Z}]?control|cross[-\s\p{Z}]?sectional|(?:^|[^\p{L}\p{N}_])(?:rr|or|pr)(?:[\s\p{Z}]*=[\s\p{Z}]*|[\s\p{Z}]+)[0-9]"
+_FLAGS = f"""WITH f AS (SELECT doc_id, coalesce(regexp_matches(text, {_q(_RISK)}), false) AS included, coalesce(regexp_matches(text, {_q(exclude_pattern())}), false) AS excluded FROM documents)"""
 _TFIDF = rf"""
 tok AS (SELECT row_index, unnest(regexp_extract_all(lower(Abstract), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM merged_exact_dedup WHERE Abstract IS NOT NULL),
 cnt AS (SELECT row_index, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY ALL),
@@ -344,9 +353,12 @@ _UNIT = "WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1
 _CENTRE = _UNIT + ", m AS (SELECT label, pos, avg(x) AS x, count(*) AS size FROM u GROUP BY ALL), c AS (SELECT label, size, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY label)), 1e-12) AS x FROM m)"
 
 
+_SIMPLE = rf"regexp_extract_all(translate(lower(coalesce(Document, '')), '{X.ACCENTED}', '{X.BARE}'), '[a-z][a-z\-]{{2,}}')"
+
+
 def _terms_sql(source: str = "document_info_full") -> str:
     return rf"""
-tk AS (SELECT Topic AS topic, unnest(regexp_extract_all(lower(coalesce(Document, '')), '[a-z][a-z\-]{{2,}}')) AS term FROM {source} WHERE Topic IS NOT NULL AND Topic <> -1),
+tk AS (SELECT Topic AS topic, unnest({_SIMPLE}) AS term FROM {source} WHERE Topic IS NOT NULL AND Topic <> -1),
 terms AS (SELECT topic, term, count(*) AS tf FROM tk WHERE term NOT IN ({_STOP}) GROUP BY ALL)"""
 
 
@@ -361,10 +373,56 @@ sc{tag} AS (SELECT topic, term, tf / size * ln(1 + (SELECT avg(size) FROM sz{tag
 top{tag} AS (SELECT * FROM (SELECT topic, term, score, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, term) AS INTEGER) AS rank FROM sc{tag}) WHERE rank <= {n})""".replace("{src}", "")
 
 
+def _coherence_sql(source: str = "document_info_full", top: str = "top", tag: str = "") -> str:
+    """Common table expressions after the top words; the last one, coh, has the one row."""
+    text = rf"""
+d@ AS (SELECT doc_id AS id, {_SIMPLE} AS t FROM {source}),
+vf@ AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM d@) GROUP BY term),
+nd@ AS (SELECT count(*) AS n FROM d@),
+vo@ AS (SELECT term FROM vf@, nd@ WHERE df >= least(5, greatest(2, floor(n * 0.001::DOUBLE))) AND df <= 0.9::DOUBLE * n AND term IN (SELECT term FROM {top})),
+ask@ AS (SELECT DISTINCT topic, term FROM {top} WHERE term IN (SELECT term FROM vo@)),
+good@ AS (SELECT * FROM ask@ WHERE topic IN (SELECT topic FROM ask@ GROUP BY topic HAVING count(*) >= 2)),
+win@ AS (SELECT id, unnest(range(0, greatest(1, len(t) - 9))) AS w, t FROM d@),
+seen@ AS (SELECT DISTINCT id, w, unnest(t[w + 1 : w + 10]) AS term FROM win@),
+hit@ AS (SELECT * FROM seen@ WHERE term IN (SELECT term FROM good@)),
+tot@ AS (SELECT count(*) AS n FROM win@),
+one@ AS (SELECT term, count(*) AS c FROM hit@ GROUP BY term),
+pr@ AS (SELECT a.term AS x, b.term AS y, count(*) AS c FROM hit@ a JOIN hit@ b ON a.id = b.id AND a.w = b.w AND a.term < b.term GROUP BY ALL),
+q@ AS (SELECT a.topic, coalesce(pr@.c, 0) / tot@.n AS p, ox.c / tot@.n AS px, oy.c / tot@.n AS py FROM good@ a JOIN good@ b ON a.topic = b.topic AND a.term < b.term JOIN one@ ox ON ox.term = a.term JOIN one@ oy ON oy.term = b.term LEFT JOIN pr@ ON pr@.x = a.term AND pr@.y = b.term, tot@),
+each@ AS (SELECT topic, avg(ln((p + 1e-12::DOUBLE) / (px * py)) / -ln(p + 1e-12::DOUBLE)) AS npmi, count(*) AS pairs FROM q@ GROUP BY topic),
+coh@ AS (SELECT CASE WHEN count(*) >= 2 THEN round(avg(npmi), 6) END AS coherence, count(*) AS topics, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs FROM each@)"""
+    return text.replace("@", tag)
+
+
+def _grid_sql() -> str:
+    """The points of the grid, one chain of bounds, scores and words for each pair of bounds."""
+    chains, runs = [], []
+    for k, (low, high) in enumerate((a, b) for a, b in GRID if a < b):
+        chains.append(_top_sql(low=low, high=high, tag=f"_g{k}"))
+        for n in GRID_WORDS:
+            runs.append(f"SELECT 'min_df={low}|max_df={high}|words={n}' AS tag, {low}::DOUBLE AS min_df, {high}::DOUBLE AS max_df, {n}::INTEGER AS words, round(count(DISTINCT term) / count(*), 6) AS diversity, round(avg(score), 6) AS mean_score, count(DISTINCT topic) AS topics, (SELECT coverage FROM cov) AS coverage FROM top_g{k} WHERE rank <= {n}")
+    ranks = ", ".join(f"CAST(rank() OVER (ORDER BY {m} DESC NULLS LAST) AS DOUBLE) AS {m}_rank" for m in ("diversity", "mean_score", "coverage"))
+    return f"WITH {_terms_sql()}, {', '.join(chains)}, cov AS ({_COVER('document_info_full')}), runs AS ({' UNION ALL '.join(runs)}), rk AS (SELECT *, {ranks}, CASE WHEN coverage < 0.6 THEN 10000.0 ELSE 0.0 END::DOUBLE AS penalty FROM runs), ranked AS (SELECT *, (diversity_rank + mean_score_rank + coverage_rank) / 3.0::DOUBLE + penalty AS avg_rank FROM rk) "
+
+
 _KEPT = rf"kept AS (SELECT doc_id, Topic, Document FROM document_info_full WHERE {_SQUEEZE('Document')} IN (SELECT {_SQUEEZE('Document')} FROM document_info_full d WHERE Document IS NOT NULL AND (Topic IS NULL OR Topic NOT IN (SELECT topic FROM curation_map WHERE topic IS NOT NULL AND lower({_SQUEEZE('status')}) = 'remove'))))"
 _COVER = lambda src: f"SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(Topic, -1) = -1) AS outliers, round(1 - count(*) FILTER (WHERE coalesce(Topic, -1) = -1) / count(*), 6) AS coverage, count(DISTINCT Topic) FILTER (WHERE coalesce(Topic, -1) <> -1) AS topics FROM {src}"
 _WORDS = "WITH k AS (SELECT Topic AS topic, list_filter(list_transform(Representation, lambda x: trim(x)), lambda x: x <> '')[1:15] AS words FROM topic_info_full)"
 
+
+
+def _label_sql(version: int) -> str:
+    """The stand-in's answers in their normal form, written out from the keywords and the number of texts."""
+    side, proof, link = (1_000_000, 160, 500) if version == 1 else (200, 300, 400)
+    summary = "'About ' || array_to_string(words, ', ') || '.'"
+    summary = f"substr({summary}, 1, 2000)" if version == 1 else f"array_to_string(string_split({summary}, ' ')[1:250], ' ')"
+    factor, outcome = f"substr(coalesce(words[2], ''), 1, {side})", f"substr(words[1], 1, {side})"
+    links = f"""'[{{"factor":"' || {factor} || '","outcome_or_result":"' || {outcome} || '","direction":"positive","brief_evidence":"' || substr(n || ' texts', 1, {proof}) || '"}}]'"""
+    score = "CAST(greatest(1, least(5, length(n::VARCHAR))) AS INTEGER)"
+    more = f", {score} AS specificity_score" if version == 1 else ""
+    return _WORDS + f", n AS (SELECT k.topic, k.words, (SELECT count(*) FROM document_info_full d WHERE d.Topic = k.topic) AS n FROM k WHERE k.topic <> -1) SELECT topic, substr(array_to_string(words[1:3], ' '), 1, 100) AS refined_title, substr(words[1], 1, 250) AS search_topic, {summary} AS summary, {links} AS associations_json, 1::INTEGER AS associations, substr(array_to_string(words, ' '), 1, {link}) AS link_text, array_to_string(list_transform(words, lambda w: lower(w))[1:10], ', ') AS tags, {score} AS confidence{more} FROM n"
+
+
 SQL = {
     "filter_include_exclude": _FLAGS + " SELECT doc_id, included, excluded, included AND NOT excluded AS kept FROM f",
     "filter_stats": _FLAGS + " SELECT count(*) AS total_input, count(*) FILTER (WHERE included) AS with_included, count(*) FILTER (WHERE excluded) AS with_excluded, count(*) FILTER (WHERE included AND NOT excluded) AS final_kept, count(*) - count(*) FILTER (WHERE included AND NOT excluded) AS final_removed, round(count(*) FILTER (WHERE included AND NOT excluded) / count(*), 6) AS retention_rate FROM f",
@@ -399,27 +457,25 @@ SQL = {
     "ctfidf_terms": f"WITH {_terms_sql()}, {_top_sql(high=1e9, n=1)} SELECT topic, term, round(score, 6) AS score FROM sc",
     "topic_top_words": f"WITH {_terms_sql()}, {_top_sql()} SELECT topic, rank, term, round(score, 6) AS score FROM top",
     "topic_diversity": f"WITH {_terms_sql()}, {_top_sql()} SELECT round(count(DISTINCT term) / count(*), 6) AS diversity, count(*) AS words FROM top",
-    "coherence_npmi": rf"""WITH {_terms_sql()}, {_top_sql()},
-d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(Document, '')), '[a-z][a-z\-]{{2,}}') AS t FROM document_info_full),
-vf AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM d) GROUP BY term),
-nd AS (SELECT count(*) AS n FROM d),
-vo AS (SELECT term FROM vf, nd WHERE df >= least(5, greatest(2, floor(n * 0.001::DOUBLE))) AND df <= 0.9::DOUBLE * n AND term IN (SELECT term FROM top)),
-ask AS (SELECT DISTINCT topic, term FROM top WHERE term IN (SELECT term FROM vo)),
-ask2 AS (SELECT * FROM ask WHERE topic IN (SELECT topic FROM ask GROUP BY topic HAVING count(*) >= 2)),
-win AS (SELECT id, unnest(range(0, greatest(1, len(t) - 9))) AS w, t FROM d),
-seen AS (SELECT DISTINCT id, w, unnest(t[w + 1 : w + 10]) AS term FROM win),
-hit AS (SELECT * FROM seen WHERE term IN (SELECT term FROM ask2)),
-tot AS (SELECT count(*) AS n FROM win),
-one AS (SELECT term, count(*) AS c FROM hit GROUP BY term),
-pr AS (SELECT a.term AS x, b.term AS y, count(*) AS c FROM hit a JOIN hit b ON a.id = b.id AND a.w = b.w AND a.term < b.term GROUP BY ALL),
-q AS (SELECT a.topic, coalesce(pr.c, 0) / tot.n AS p, ox.c / tot.n AS px, oy.c / tot.n AS py FROM ask2 a JOIN ask2 b ON a.topic = b.topic AND a.term < b.term JOIN one ox ON ox.term = a.term JOIN one oy ON oy.term = b.term LEFT JOIN pr ON pr.x = a.term AND pr.y = b.term, tot),
-e AS (SELECT topic, avg(ln((p + 1e-12::DOUBLE) / (px * py)) / -ln(p + 1e-12::DOUBLE)) AS npmi, count(*) AS pairs FROM q GROUP BY topic)
-SELECT CASE WHEN count(*) >= 2 THEN round(avg(npmi), 6) END AS coherence, count(*) AS topics, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs FROM e""",
+    "coherence_npmi": f"WITH {_terms_sql()}, {_top_sql()}, {_coherence_sql()} SELECT * FROM coh",
     "topic_coverage": _COVER("document_info_full"),
     "topic_keywords": _WORDS + " SELECT topic, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS word FROM k",
     "curate_semi_join": f"WITH {_KEPT} SELECT doc_id, Topic FROM kept",
     "curate_stats": f"WITH {_KEPT} SELECT count(*) AS total, round(avg(length(Document)), 6) AS mean_length, (SELECT count(*) FROM kept) AS kept, round((SELECT count(*) FROM kept) / count(*), 4) AS retention FROM document_info_full",
-    "run_comparison": f"WITH {_KEPT}, {_terms_sql()}, {_top_sql()}, {_terms_sql('kept').replace('tk AS', 'tk2 AS').replace('terms AS', 'terms2 AS').replace('FROM tk', 'FROM tk2')}, {_top_sql(tag='2').replace('FROM terms', 'FROM terms2')} SELECT 'all' AS run, * FROM ({_COVER('document_info_full')}), (SELECT round(count(DISTINCT term) / count(*), 6) AS diversity, count(*) AS words FROM top) UNION ALL SELECT 'curated', * FROM ({_COVER('kept')}), (SELECT round(count(DISTINCT term) / count(*), 6), count(*) FROM top2)",
+    "run_comparison": f"WITH {_KEPT}, {_terms_sql()}, {_top_sql()}, {_terms_sql('kept').replace('tk AS', 'tk2 AS').replace('terms AS', 'terms2 AS').replace('FROM tk', 'FROM tk2')}, {_top_sql(tag='2').replace('FROM terms', 'FROM terms2')}, {_coherence_sql()}, {_coherence_sql('kept', 'top2', '2')} SELECT 'all' AS run, * FROM ({_COVER('document_info_full')}), (SELECT round(count(DISTINCT term) / count(*), 6) AS diversity, count(*) AS words FROM top), (SELECT coherence FROM coh) UNION ALL SELECT 'curated', * FROM ({_COVER('kept')}), (SELECT round(count(DISTINCT term) / count(*), 6), count(*) FROM top2), (SELECT coherence FROM coh2)",
+    "match_rate": f"WITH {_KEPT}, stay AS (SELECT Document FROM document_info_full WHERE Topic IS NULL OR Topic NOT IN (SELECT topic FROM curation_map WHERE topic IS NOT NULL AND lower({_SQUEEZE('status')}) = 'remove')), k AS (SELECT count(*) AS kept_documents, count(DISTINCT {_SQUEEZE('Document')}) AS distinct_texts FROM stay) SELECT kept_documents, distinct_texts, (SELECT count(*) FROM kept) AS matched, round(100.0::DOUBLE * (SELECT count(*) FROM kept) / kept_documents, 6) AS match_rate FROM k",
+    "grid_ranked": _grid_sql() + "SELECT * FROM ranked",
+    "grid_best": _grid_sql() + "SELECT * FROM ranked ORDER BY avg_rank, coverage_rank, diversity_rank, mean_score_rank, min_df, max_df, words LIMIT 1",
+    "topic_ngrams": rf"""WITH dw AS (SELECT Topic AS topic, list_filter({_SIMPLE}, lambda x: x NOT IN ({_STOP})) AS w FROM document_info_full WHERE Topic IS NOT NULL AND Topic <> -1),
+g AS (SELECT topic, unnest(w) AS term FROM dw UNION ALL SELECT topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM dw UNION ALL SELECT topic, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM dw),
+terms AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY ALL),
+vocab AS (SELECT term FROM terms GROUP BY term HAVING count(*) <= 0.5::DOUBLE * (SELECT count(DISTINCT topic) FROM terms) ORDER BY sum(tf) DESC, term LIMIT 30000),
+bt AS (SELECT * FROM terms WHERE term IN (SELECT term FROM vocab)), sz AS (SELECT topic, sum(tf) AS size FROM bt GROUP BY topic), fq AS (SELECT term, sum(tf) AS f FROM bt GROUP BY term),
+sc AS (SELECT topic, term, tf / size * ln(1 + (SELECT avg(size) FROM sz) / f) AS score FROM bt JOIN sz USING (topic) JOIN fq USING (term))
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, term) AS rank FROM sc) WHERE rank <= 10""",
+    "label_prompts": _WORDS + f", b AS (SELECT Topic, {_SQUEEZE('Document')} AS t, row_number() OVER (PARTITION BY Topic ORDER BY Probability DESC NULLS LAST, doc_id) AS r FROM document_info_full WHERE Topic <> -1 AND Document IS NOT NULL), p AS (SELECT Topic, string_agg('- ' || CASE WHEN length(t) > 900 THEN substr(t, 1, 900) || '...' ELSE t END, chr(10) ORDER BY r) AS lines FROM b WHERE r <= 10 GROUP BY Topic) SELECT p.Topic, 'Keywords: ' || array_to_string(k.words, ', ') || chr(10) || 'Documents:' || chr(10) || lines AS prompt FROM p JOIN k ON k.topic = p.Topic",
+    "label_normalize_v1": _label_sql(1),
+    "label_normalize_v2": _label_sql(2),
     "label_merge": _WORDS + ", n AS (SELECT Topic AS topic, length(CAST(count(*) AS VARCHAR)) AS d FROM document_info_full GROUP BY Topic) SELECT t.Topic, t.Name, CASE WHEN t.Topic <> -1 THEN substr(array_to_string(k.words[1:3], ' '), 1, 100) END AS refined_title, CASE WHEN t.Topic <> -1 THEN CAST(greatest(1, least(5, coalesce(n.d, 1))) AS INTEGER) END AS confidence FROM topic_info_full t LEFT JOIN k ON k.topic = t.Topic LEFT JOIN n ON n.topic = t.Topic",
     "score_histogram": "WITH n AS (SELECT t.Topic, greatest(1, least(5, length(CAST(count(d.Topic) AS VARCHAR)))) AS s FROM topic_info_full t LEFT JOIN document_info_full d ON d.Topic = t.Topic WHERE t.Topic <> -1 GROUP BY t.Topic) SELECT CAST(i AS INTEGER) AS specificity_score, count(s) AS labels FROM range(1, 6) r(i) LEFT JOIN n ON s = i GROUP BY i",
     "label_confidence_report": "WITH n AS (SELECT t.Topic, greatest(1, least(5, length(CAST(count(d.Topic) AS VARCHAR)))) AS s FROM topic_info_full t LEFT JOIN document_info_full d ON d.Topic = t.Topic WHERE t.Topic <> -1 GROUP BY t.Topic) SELECT count(*) AS labels, round(avg(s), 6) AS mean_confidence, count(*) FILTER (WHERE s >= 4) AS confident FROM n",

@@ -2,7 +2,7 @@
 
 ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, local runs)
 is a folder of this machine taken. Every table is a Parquet folder of its own, so a lost executor costs the
-reading task a retry, never the lineage behind the table.
+reading task a retry, never the lineage behind the table. Tables that a result still reads stay until ``clear``.
 """
 
 import tempfile
@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -17,9 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    d = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _local[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -27,15 +30,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later result reads."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _written[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables left by this application: when the results read from them have been written or collected."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)

@@ -42,6 +42,11 @@ def test_unit_of_zero_vector(spark):
     assert one(spark, [3.0, 4.0], X.unit, "array<double>") == [0.6, 0.8]
 
 
+def test_simple_words_are_without_accents(spark):
+    assert one(spark, "Veau à lait, Métrite ñu-x", X.simple_words) == ["veau", "lait", "metrite", "nu-x"]
+    assert len(X.ACCENTED) == len(X.BARE) and one(spark, None, X.simple_words) == []
+
+
 def test_ngrams(spark):
     assert one(spark, ["a", "b", "c"], lambda c: X.ngrams(c, 2), "array<string>") == ["a b", "b c"]
     assert one(spark, ["a"], lambda c: X.ngrams(c, 2), "array<string>") == []
@@ -49,7 +54,7 @@ def test_ngrams(spark):
 
 @pytest.mark.parametrize(
     ("v", "inc", "exc"),
-    [("or 5 cows", True, False), ("OR = 1.8", True, False), ("for 5 cows", False, False), ("group value", True, False), ("p-value", True, False), ("foxes", False, False), ("a fox", False, True), ("ñboar", False, False), ("or 5", True, False), ("women", False, True), (None, False, False), ("", False, False)],
+    [("or 5 cows", True, False), ("OR = 1.8", True, False), ("for 5 cows", False, False), ("group value", True, False), ("p-value", True, False), ("foxes", False, False), ("a fox", False, True), ("ñboar", False, False), ("or5", False, False), ("or-5", False, False), ("or/5", False, False), ("OR: 1.8", False, False), ("rr12", False, False), ("RR=2", True, False), ("PR =  3", True, False), ("or = 7", True, False), ("(RR 0.5)", True, False), ("woman", False, True), ("womxn", False, False), ("or 5", True, False), ("women", False, True), (None, False, False), ("", False, False)],
 )
 def test_lexicon(spark, v, inc, exc):
     df = spark.createDataFrame([(v,)], "v string")

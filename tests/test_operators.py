@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,15 @@ def test_threshold_grid_and_selection(spark):
     assert not dedup.select_threshold(m.where("threshold < 0.75")).first().meets_target
 
 
+def test_a_labelled_pair_without_a_readable_score_is_an_error(spark):
+    for bad in (None, "nan", "x"):
+        df = spark.createDataFrame([("0.9", "1"), (bad, "0"), ("0.8", "")], "s string, y string")
+        with pytest.raises(Exception, match="no readable score"):
+            dedup.threshold_metrics(df, "s", "y", [0.7]).collect()
+    df = spark.createDataFrame([("0.9", "1"), (None, "")], "s string, y string")
+    assert dedup.threshold_metrics(df, "s", "y", [0.7]).first().tp == 1
+
+
 def test_chunks(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("string")).alias("t"))
     assert [c[0] for c in df.select(tokens.chunks(F.col("t"), 4, 3)).first()[0]] == ["0", "3", "6"]
@@ -88,6 +99,35 @@ def test_label_normal_form(spark):
     assert {v1[k].refined_title for k in (1, 3, 4)} == {"unlabeled-topic"} and v1[1].confidence == 3
 
 
+def test_first_balanced_object_and_lists_of_tags(spark):
+    answers = ['so: {"refined_title": "T", "tags": "A, b ,", "confidence": "4.0"} and {"x": 1}', '{"a": {"b": 1}} {', 'open { only', '{"confidence": 4.9, "specificity_score": "4.0"}']
+    df = spark.createDataFrame(list(enumerate(answers)), "i int, answer string")
+    got = [r[0] for r in df.orderBy("i").select(labels.extract_json(F.col("answer"))).collect()]
+    assert got == ['{"refined_title": "T", "tags": "A, b ,", "confidence": "4.0"}', '{"a": {"b": 1}}', "open { only", answers[3]]
+    v1 = {r.i: r for r in labels.normalize(df, "answer", 1).collect()}
+    assert (v1[0].refined_title, v1[0].tags, v1[0].confidence) == ("T", "a, b", 3) and (v1[3].confidence, v1[3].specificity_score) == (4, 3)
+
+
+def test_coherence_against_its_definition(spark):
+    rnd = random.Random(2)
+    vocabulary = [f"w{chr(97 + k)}x" for k in range(12)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.choice([3, 9, 14, 30]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    words = [(t, w) for t in range(3) for w in rnd.sample(vocabulary, 4)]
+    got = topics.coherence(docs, "id", "t", spark.createDataFrame(words, "topic int, term string"), no_above=1.0).first()
+    windows = [set(t[k : k + 10]) for t in map(str.split, texts) for k in range(max(1, len(t) - 9))]
+    p = lambda *ws: sum(set(ws) <= w for w in windows) / len(windows)
+    npmi = lambda a, b: math.log((p(a, b) + 1e-12) / (p(a) * p(b))) / -math.log(p(a, b) + 1e-12)
+    per = [[npmi(a, b) for a, b in itertools.combinations([w for t, w in words if t == k], 2)] for k in range(3)]
+    assert got.coherence == pytest.approx(sum(sum(x) / len(x) for x in per) / 3, abs=1e-5) and got.pairs == 18
+
+
+def test_match_rate(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "b ", 1), (4, None, 1)], "doc_id bigint, Document string, Topic int")
+    cur = spark.createDataFrame([(2, "remove")], "topic int, status string")
+    assert tuple(filters.match_rate(docs, docs, cur, "Document").first()) == (3, 2, 3, 100.0)
+
+
 def test_sources(spark, tmp_path):
     a = spark.createDataFrame([("d", "t", "a", "x", "j", "2001")], "DOI string, Title string, Abstract string, Authors string, Journal string, Year string")
     b = a.withColumnsRenamed({"DOI": "doi", "Title": "title", "Abstract": "abstract", "Authors": "creator", "Journal": "publicationName", "Year": "coverDate"})
