@@ -46,7 +46,9 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_scratch_path", None)
     if path:
         _delete(df.sparkSession, path)
-        _written[df.sparkSession.sparkContext.applicationId].remove(path)
+        left = _written.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in left:
+            left.remove(path)
 
 
 def clear(spark: SparkSession) -> None:
