@@ -87,3 +87,8 @@ def human_bytes(n: Column) -> Column:
 
 def word_limit(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(squeeze(text), " "), 1, n), " ")
+
+
+def percent(share: Column, digits: int = 2) -> Column:
+    """A share as '12.34%'; null stays null."""
+    return F.when(share.isNotNull(), F.format_string(f"%.{digits}f%%", share.cast("double") * 100))

@@ -42,6 +42,21 @@ def extract_json(answer: Column) -> Column:
     return squeeze(F.when(tagged != "", tagged).when(braced != "", braced).otherwise(answer))
 
 
+def repair_json(body: Column) -> Column:
+    """``body`` if it can be read; else with straight quotes, without commas before a closing bracket, and with the brackets closed that a cut-off answer left open.
+
+    A text cut off within a string gets its quote first. Brackets within strings are not told from others: what still cannot be read gives the defaults.
+    """
+    t = F.regexp_replace(F.translate(body, "\u201c\u201d\u201e", '"""'), r"[,:\s]+$", "")
+    marks = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c)))
+    t = F.when(marks(F.replace(t, F.lit('\\"')), '"') % 2 == 1, F.concat(t, F.lit('"'))).otherwise(t)
+    # closers in the order in which the brackets that stay open were opened
+    signs = F.split(F.regexp_replace(F.regexp_replace(t, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", ""), "")
+    opened = F.aggregate(signs, F.lit(""), lambda s, c: F.when(c == "{", F.concat(F.lit("}"), s)).when(c == "[", F.concat(F.lit("]"), s)).when(c.isin("}", "]"), F.substr(s, F.lit(2))).otherwise(s))
+    t = F.regexp_replace(F.concat(t, opened), r",(?=\s*[}\]])", "")
+    return F.when(F.try_parse_json(body).isNull() & body.rlike(r"^\s*\{"), t).otherwise(body)
+
+
 def score_1_5(value: Column, whole_only: Column) -> Column:
     """A score clamped to 1..5, 3 if it is none; decimals are cut, or where ``whole_only`` (a score written as a string) count as none."""
     v = squeeze(value)
@@ -51,7 +66,7 @@ def score_1_5(value: Column, whole_only: Column) -> Column:
 
 def normalize(df: DataFrame, answer: str, version: int = 1) -> DataFrame:
     """The columns of a label from a model's answer, with its defaults and limits; what cannot be read gives the defaults."""
-    body = extract_json(F.col(answer))
+    body = repair_json(extract_json(F.col(answer)))
     a = F.from_json(body, ANSWER)
     quoted = lambda f: F.coalesce(body.rlike(rf'"{f}"\s*:\s*"'), F.lit(False)) if version == 1 else F.lit(True)
     listed = F.coalesce(a["tags"], F.split(F.from_json(body, "tags string")["tags"], ","))

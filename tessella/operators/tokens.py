@@ -27,3 +27,8 @@ def chunks(tokens: Column, length: int = 512, stride: int = 409) -> Column:
     n = F.size(tokens)
     more = F.when(n > length, F.ceil((n - length) / stride)).otherwise(0).cast("int")
     return F.transform(F.sequence(F.lit(0), more), lambda i: F.slice(tokens, i * stride + 1, length))
+
+
+def with_truncated(df: DataFrame, text: str, n: int = 512) -> DataFrame:
+    """``df`` with the column '<text>_trunc<n>': the text cut to ``n`` tokens; null is ''."""
+    return df.withColumn(f"{text}_trunc{n}", truncate(tokenize(F.coalesce(F.col(text), F.lit(""))), n))

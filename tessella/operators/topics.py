@@ -1,6 +1,6 @@
 """Topic terms by class-based TF-IDF, and the quality of topics: diversity, coverage, coherence, ranks."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, ngrams, simple_words
@@ -143,6 +143,37 @@ def mmr(scored: DataFrame, docs: DataFrame, topic: str, text: str, n: int = 10,
     return like.groupBy("topic").applyInPandas(choose, "topic int, term string, rank int")
 
 
+#: The parameters of the grid over projection, density clusters and vocabulary, and what each may be.
+GRID_POINTS = {"min_df": [0.003, 0.005], "max_df": [0.5, 0.8], "n_neighbors": [5, 10, 15], "n_components": [5, 10, 15], "min_cluster_size": [5, 10, 15], "min_samples": [1, 5, 10]}
+
+
+def grid_points(spark: SparkSession, values: dict[str, list]) -> DataFrame:
+    """A row for each point of the cross product of ``values``, with its tag 'name=value|...'; points without max_df > min_df are left out.
+
+    The product is of parameters, not of data: its size is that of ``values`` alone.
+    """
+    out = spark.range(0, 1, 1, 1)
+    for name, options in values.items():
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, options))))
+    out = out.drop("id")
+    if {"min_df", "max_df"} <= set(values):
+        out = out.where("max_df > min_df")
+    return out.withColumn("tag", F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in values]))
+
+
+def admitted(terms: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with the number of terms that lie in their bounds and how often these occur.
+
+    Terms are first counted by the number of topics that have them, which is a table of as many rows as topics at most.
+    """
+    topics = terms.agg(F.countDistinct("topic").alias("topics"))
+    held = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("f")).groupBy("df").agg(F.count("*").alias("terms"), F.sum("f").alias("f")).crossJoin(F.broadcast(topics))
+    bounds = points.select("min_df", "max_df").distinct()
+    counts = bounds.join(held, (F.col("df") >= F.col("min_df") * F.col("topics")) & (F.col("df") <= F.col("max_df") * F.col("topics"))).groupBy("min_df", "max_df").agg(F.sum("terms").alias("terms"), F.sum("f").alias("occurrences"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return points.join(counts, ["min_df", "max_df"], "left").select(*points.columns, none("terms"), none("occurrences"))
+
+
 METRICS = ["silhouette", "coherence", "diversity", "coverage"]
 
 

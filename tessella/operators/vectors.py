@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, unit
@@ -81,3 +81,16 @@ def project(df: DataFrame, record: str, vector: str, k: int = 5) -> DataFrame:
 
     x = df.select(record, array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
     return PCA(k=k, inputCol="x", outputCol="y").fit(x).transform(x).select(record, vector_to_array("y").alias("projection"))
+
+
+def half(vector: Column) -> Column:
+    """The elements rounded to what half precision holds: 11 significant bits, steps of 2^-24 near zero, ties to even, infinite beyond its range."""
+
+    def one(x: Column) -> Column:
+        x = x.cast("double")
+        exponent = F.greatest(F.floor(F.log2(F.when(x == 0, 1.0).otherwise(F.abs(x)))), F.lit(-14))
+        step = F.pow(F.lit(2.0), exponent - 10)
+        near = F.rint(x / step) * step
+        return F.when(F.isnan(x) | F.isnull(x), x).when(F.abs(near) >= 65520, F.signum(x) * F.lit(float("inf"))).otherwise(near)
+
+    return F.transform(vector, one)

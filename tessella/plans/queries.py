@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import exclude_pattern
-from ..operators import dedup, filters, labels, tokens, topics, vectors
+from ..operators import dedup, density, filters, labels, rows, tokens, topics, vectors
 from ..scratch import materialize
 from ..sources.tables import harmonize, table
 
@@ -67,6 +67,15 @@ def abstract_cut(s, d):
     return _corpus(s, d).select("row_index", X.cut(F.col("Abstract"), 900).alias("abstract"))
 
 
+def dense_rows(s, d):
+    """The rows left by exact deduplication, numbered 0, 1, ... in loading order."""
+    return rows.dense_id(exact_dedup(s, d).select("row_index"), "row_index", "position")
+
+
+def document_sample(s, d):
+    return rows.seeded_sample(table(s, d, "documents"), "doc_id", 300)
+
+
 # similarity and groups
 def tfidf_df(s, d):
     c = _corpus(s, d)
@@ -186,6 +195,17 @@ def pca_project(s, d):
     return vectors.project(_vecs(s, d), "vec_id", "embedding")
 
 
+def half_vectors(s, d):
+    return _vecs(s, d).select("vec_id", F.posexplode(vectors.half(F.col("embedding"))).alias("pos", "x"))
+
+
+DENSITY = {"eps": 1.12, "min_points": 3, "min_size": 5}
+
+
+def density_clusters(s, d):
+    return density.density_clusters(_vecs(s, d), "vec_id", "embedding", **DENSITY)
+
+
 # topics
 def _terms(s, d, n=1):
     return topics.term_table(_docs(s, d), "Topic", "Document", n)
@@ -228,6 +248,11 @@ def topic_keywords(s, d):
     return t.select(F.col("Topic").alias("topic"), F.posexplode(labels.keywords(F.col("Representation"), None, F.col("Name"))).alias("pos", "word"))
 
 
+def grid_points(s, d):
+    """The points of the whole grid, each with the terms of the topics that its vocabulary bounds admit."""
+    return topics.admitted(_terms(s, d), topics.grid_points(s, topics.GRID_POINTS))
+
+
 GRID, GRID_WORDS = [(low, high) for low in (0.0, 0.05, 0.5) for high in (0.3, 0.6, 1.0)], (5, 10)
 
 
@@ -319,10 +344,10 @@ def label_prompts(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        filter_include_exclude, filter_stats, harmonize_union, exact_dedup, exact_dedup_stats, extract_year, year_filter, year_profile, clean_text, abstract_cut,
+        filter_include_exclude, filter_stats, harmonize_union, exact_dedup, exact_dedup_stats, extract_year, year_filter, year_profile, clean_text, abstract_cut, dense_rows, document_sample,
         tfidf_df, tfidf_terms, similar_pairs, similar_pairs_topk, pair_enrich, dedup_components, dedup_kept, dedup_drop_log, log_components, dedup_stats, threshold_metrics, threshold_selected,
-        token_stats, token_exceeding, token_truncate, token_chunks, chunk_embeddings, l2_normalize, topic_centroids, representative_docs, alignment_counts, silhouette_euclid, pca_project,
-        ctfidf_terms, topic_top_words, topic_ngrams, topic_diversity, topic_coverage, topic_mmr, coherence_npmi, topic_keywords, grid_ranked, grid_best,
+        token_stats, token_exceeding, token_truncate, token_chunks, chunk_embeddings, l2_normalize, topic_centroids, representative_docs, alignment_counts, silhouette_euclid, pca_project, half_vectors, density_clusters,
+        ctfidf_terms, topic_top_words, topic_ngrams, topic_diversity, topic_coverage, topic_mmr, coherence_npmi, topic_keywords, grid_points, grid_ranked, grid_best,
         curate_semi_join, curate_stats, match_rate, run_comparison, label_normalize_v1, label_normalize_v2, label_merge, score_histogram, label_confidence_report, label_prompts,
     )
 }
@@ -423,7 +448,20 @@ def _label_sql(version: int) -> str:
     return _WORDS + f", n AS (SELECT k.topic, k.words, (SELECT count(*) FROM document_info_full d WHERE d.Topic = k.topic) AS n FROM k WHERE k.topic <> -1) SELECT topic, substr(array_to_string(words[1:3], ' '), 1, 100) AS refined_title, substr(words[1], 1, 250) AS search_topic, {summary} AS summary, {links} AS associations_json, 1::INTEGER AS associations, substr(array_to_string(words, ' '), 1, {link}) AS link_text, array_to_string(list_transform(words, lambda w: lower(w))[1:10], ', ') AS tags, {score} AS confidence{more} FROM n"
 
 
+def _points_sql() -> str:
+    g = topics.GRID_POINTS
+    kind = lambda v: "DOUBLE" if isinstance(v[0], float) else "INTEGER"
+    lists = ", ".join(f"(SELECT unnest([{', '.join(map(str, v))}]::{kind(v)}[]) AS {k})" for k, v in g.items())
+    tag = " || '|' || ".join(f"'{k}=' || {k}" for k in g)
+    return f"WITH {_terms_sql()}, tn AS (SELECT count(DISTINCT topic) AS n FROM terms), td AS (SELECT term, count(*) AS df, sum(tf) AS f FROM terms GROUP BY term), pt AS (SELECT * FROM {lists} WHERE max_df > min_df), bo AS (SELECT min_df, max_df, count(*) AS terms, sum(f) AS f FROM (SELECT DISTINCT min_df, max_df FROM pt), td, tn WHERE df >= min_df * n AND df <= max_df * n GROUP BY ALL) SELECT pt.*, {tag.replace('min_df', 'pt.min_df').replace("'pt.min", "'min").replace('max_df', 'pt.max_df').replace("'pt.max", "'max")} AS tag, CAST(coalesce(terms, 0) AS BIGINT) AS terms, CAST(coalesce(f, 0) AS BIGINT) AS occurrences FROM pt LEFT JOIN bo ON bo.min_df = pt.min_df AND bo.max_df = pt.max_df"
+
+
 SQL = {
+    "dense_rows": "SELECT row_index, row_number() OVER (ORDER BY row_index) - 1 AS position FROM (SELECT min(row_index) AS row_index FROM merged_exact_dedup GROUP BY Title, Abstract)",
+    "document_sample": "SELECT doc_id FROM documents ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id LIMIT 300",
+    "half_vectors": "WITH x AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT *, pow(2.0::DOUBLE, greatest(floor(log2(CASE WHEN x = 0 THEN 1.0 ELSE abs(x) END)), -14) - 10) AS step FROM x) SELECT vec_id, pos, round_even(x / step, 0) * step AS x FROM s",
+    "density_clusters": f"WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), near AS (SELECT a.id AS x, b.id AS y FROM v a, v b WHERE list_distance(a.v, b.v) <= {DENSITY['eps']}::DOUBLE), core AS (SELECT x AS id FROM near GROUP BY x HAVING count(*) >= {DENSITY['min_points']}), e AS (SELECT x, y FROM near WHERE x IN (SELECT id FROM core) AND y IN (SELECT id FROM core)), r AS (SELECT id, id AS seen FROM core UNION SELECT r.id, e.y FROM r JOIN e ON r.seen = e.x), g AS (SELECT id, min(seen) AS c FROM r GROUP BY id), big AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM g GROUP BY c HAVING count(*) >= {DENSITY['min_size']}) SELECT v.id AS vec_id, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM v LEFT JOIN g ON g.id = v.id LEFT JOIN big ON big.c = g.c",
+    "grid_points": _points_sql(),
     "filter_include_exclude": _FLAGS + " SELECT doc_id, included, excluded, included AND NOT excluded AS kept FROM f",
     "filter_stats": _FLAGS + " SELECT count(*) AS total_input, count(*) FILTER (WHERE included) AS with_included, count(*) FILTER (WHERE excluded) AS with_excluded, count(*) FILTER (WHERE included AND NOT excluded) AS final_kept, count(*) - count(*) FILTER (WHERE included AND NOT excluded) AS final_removed, round(count(*) FILTER (WHERE included AND NOT excluded) / count(*), 6) AS retention_rate FROM f",
     "harmonize_union": "SELECT DOI, Title, Abstract, Authors, Journal, Year, CASE WHEN row_index % 2 = 0 THEN 'first' ELSE 'second' END AS source, row_index FROM merged_exact_dedup",

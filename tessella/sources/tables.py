@@ -65,3 +65,22 @@ def harmonize(sources: dict[str, DataFrame], keep: list[str] | None = None) -> D
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def write_topics(words: DataFrame, path: str, run_id: str) -> None:
+    """The words of the topics of a run (topic, term, score, rank) beside those of other runs; a repeated run replaces its own."""
+    out = words.select("topic", "term", "score", "rank").withColumn("run_id", F.lit(run_id))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_topics(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """(topic, term, score, rank) of a run; the topic as int. A run that was never written is an error."""
+    got = spark.read.option("recursiveFileLookup", False).parquet(path).where(F.col("run_id").cast("string") == run_id)
+    if got.isEmpty():
+        raise ValueError(f"no topics of run {run_id}")
+    return got.select(F.col("topic").cast("int").alias("topic"), "term", "score", "rank")
+
+
+def write_vectors(df: DataFrame, record: str, vector: str, path: str) -> None:
+    """(record, vector) as Parquet, the elements as 32-bit floats."""
+    df.select(record, F.col(vector).cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
