@@ -56,6 +56,9 @@ def test_density_clusters_against_brute_force(spark):
         got = {r.id: r.cluster for r in density.density_clusters(df, "id", "v", eps, least).collect()}
         assert got == {**_dbscan(v, eps, least, 5), 500: -1}
     assert density.density_clusters(df.limit(0), "id", "v", 1.0).count() == 0
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if np.sqrt(((v[i] - v[j]) ** 2).sum()) <= 0.7}
+    got = [tuple(r) for r in density.near_pairs(df.where("id < 500"), 0.7, block_rows=4).collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_half_precision_is_that_of_numpy(spark):
