@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..scratch import discard, materialize
+from .cosine import cosine_pairs
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -40,47 +41,20 @@ def tfidf(df: DataFrame, record: str, text: str, max_df: float = 0.95) -> DataFr
     return weighted.join(norm, record).select(record, "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-#: Powers of two of the document frequency at which the length of the rest of a record is known.
-POWERS = 24
-
-
 def similar_pairs(df: DataFrame, record: str, text: str, threshold: float = 0.7, max_df: float = 0.95) -> DataFrame:
     """(id_1, id_2, similarity): all pairs of TF-IDF cosine ``threshold`` or more, by an exact prefix filter.
 
-    Terms are put in order of rising document frequency. If the part of a record behind a term has a length below the
-    threshold, that part alone cannot carry a similar pair: two similar records share a term of both prefixes. Only these
-    prefixes, the rare terms of large weight, are joined; pairs that what they share there and the lengths behind it cannot
-    bring to the threshold are dropped, the others measured on all terms. Records of one weight
-    vector (copies) are compared once and their pairs written out from the groups.
+    Terms are put in order of rising document frequency. Two similar records have a length of ``threshold`` or more from
+    the first term on that they share, so records meet at the terms of their prefixes alone, up to where that length is
+    left. There the lengths of both behind the term, then the product of their outlines, bound the cosine; pairs that
+    these cannot bring to the threshold are dropped, the others measured on all terms and kept at their first common term.
     """
-    vec = materialize(tfidf(df, record, text, max_df).withColumnRenamed(record, "id"), "tfidf")
-    packed = vec.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"))
-    packed = packed.withColumn("same", F.sha2(F.to_json(F.transform("terms", lambda t: F.struct(t["term"], F.round(t["weight"], 9)))), 256))
-    members = materialize(packed, "packed")
-    reps = members.groupBy("same").agg(F.min_by("terms", "id").alias("terms"))
-    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"])
-    scan = F.aggregate("terms", F.struct(F.array().cast("array<struct<df:bigint,term:string,weight:double>>").alias("p"), squares("terms").alias("rest")), lambda s, t: F.when(s["rest"] >= threshold * threshold - 1e-9, F.struct(F.array_append(s["p"], F.struct(t["df"].alias("df"), t["term"].alias("term"), t["weight"].alias("weight"))).alias("p"), (s["rest"] - t["weight"] * t["weight"]).alias("rest"))).otherwise(s))
-    # the length of a record behind each power of two of the document frequency, and behind its own prefix
-    behind = F.transform(F.sequence(F.lit(0), F.lit(POWERS)), lambda k: F.sqrt(squares(F.filter("terms", lambda t: t["df"] >= F.pow(F.lit(2.0), k)))))
-    cut = materialize(reps.select("same", scan.alias("s"), behind.alias("behind")), "prefixes")
-    prefix = cut.select("same", F.explode("s.p").alias("t")).select("t.term", "same", "t.weight")
-    left, right = prefix.toDF("term", "a", "wa"), prefix.toDF("term", "b", "wb")
-    met = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
-    last = F.element_at("s.p", -1)
-    ends = cut.select("same", F.struct(last["df"].alias("df"), last["term"].alias("term")).alias("end"), F.sqrt(F.greatest(F.col("s.rest"), F.lit(0.0))).alias("rest"), "behind")
-    # of the prefix that ends first all shared terms are in the part; what lies behind its end adds no more than both lengths there
-    at = F.floor(F.log2(F.least("end_a.df", "end_b.df"))).cast("int")
-    length = lambda x, y: F.when(F.col(f"end_{x}") <= F.col(f"end_{y}"), F.col(f"rest_{x}")).otherwise(F.col(f"behind_{x}")[F.least(at, F.lit(POWERS))])
-    both_ends = met.join(ends.toDF("a", "end_a", "rest_a", "behind_a"), "a").join(ends.toDF("b", "end_b", "rest_b", "behind_b"), "b")
-    cand = both_ends.where(F.col("part") + length("a", "b") * length("b", "a") >= threshold - 1e-9).select("a", "b")
-    weights = reps.select("same", F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["weight"]))).alias("m"))
-    sim = F.aggregate(F.map_keys("m1"), F.lit(0.0), lambda s, k: s + F.coalesce(F.col("m1")[k] * F.col("m2")[k], F.lit(0.0)))
-    scored = cand.join(weights.toDF("a", "m1"), "a").join(weights.toDF("b", "m2"), "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
-    ids = members.select("same", "id")
-    across = scored.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select("i", "j", "similarity")
-    within = ids.toDF("same", "i").join(ids.toDF("same", "j"), "same").where("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
-    both = across.unionByName(within)
-    return both.select(F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2"), "similarity")
+    return cosine_pairs(df, record, text, threshold, max_df)
+
+
+def similar_links(df: DataFrame, record: str, text: str, threshold: float = 0.7, max_df: float = 0.95) -> DataFrame:
+    """(id_1, id_2): of the pairs of ``similar_pairs`` enough to connect all records that they connect."""
+    return cosine_pairs(df, record, text, threshold, max_df, links=True).select("id_1", "id_2")
 
 
 def nearest_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
