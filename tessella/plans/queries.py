@@ -103,7 +103,7 @@ def pair_enrich(s, d):
 
 
 def dedup_components(s, d):
-    return dedup.components(_pairs(s, d))
+    return dedup.components(dedup.similar_links(_corpus(s, d), "row_index", "Abstract"))
 
 
 def dedup_kept(s, d):
