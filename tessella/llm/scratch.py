@@ -1,3 +1,3 @@
-from ..scratch import discard, materialize, shared_dir
+from ..scratch import discard, materialize, materialize_alone, shared_dir
 
-__all__ = ["discard", "materialize", "shared_dir"]
+__all__ = ["discard", "materialize", "materialize_alone", "shared_dir"]

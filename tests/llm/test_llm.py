@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -151,6 +152,33 @@ def test_near_duplicates_in_blocks_and_empty(spark, monkeypatch):
     assert similar.near_duplicates(df.limit(0), "row_index", ["Title", "Abstract"]).count() == 0
 
 
+def test_near_duplicates_in_waves_that_leave_no_shuffle(spark, monkeypatch):
+    root = Path(spark.conf.get("spark.local.dir"))
+    shuffled = lambda: sum(p.stat().st_size for p in root.rglob("shuffle_*.data"))
+    df = spark.createDataFrame(corpus(spark, 120, 9), "row_index bigint, Title string, Abstract string")
+    docs = similar.texts(df, "row_index", ["Title", "Abstract"])
+    filt = similar.Filter(np.zeros(0, np.uint64), 0.6)
+    whole = rows(similar.candidates(docs, filt, 0.6), "*")
+    monkeypatch.setattr(similar, "COPIES", 1)
+    monkeypatch.setattr(similar, "BUCKET_BYTES", 1 << 12)
+    before = shuffled()
+    got = similar.candidates(docs, filt, 0.6)
+    assert shuffled() - before < 1 << 16  # only the small sums of the rows per key stay
+    assert rows(got, "*") == whole and whole
+
+
+def test_texts_are_sent_packed_without_loss():
+    rnd = np.random.default_rng(3)
+    docs = np.zeros(500, similar.DOC)
+    docs["id"], docs["n"], docs["rare"], docs["slack"] = np.arange(500) + 10**9, rnd.integers(60, 160, 500), rnd.integers(0, 30, 500), 20
+    docs["bits"] = np.packbits(rnd.random((500, 512)) < 0.1, axis=1, bitorder="little").view("<u4")
+    key, doc = rnd.integers(1 << 62, size=500, dtype=np.uint64), np.arange(500)
+    blob = similar._blob(docs, key, np.zeros(500, np.uint8), doc)
+    got, _, at = similar._unpack([blob])
+    assert (got == docs).all() and sorted(at.tolist()) == doc.tolist()
+    assert len(blob) < 0.75 * 500 * (similar.DOC.itemsize + similar.ROW.itemsize)
+
+
 def test_long_texts_of_common_words_against_brute_force(spark):
     rnd = random.Random(8)
     vocabulary, data = [f"c{k}" for k in range(520)], []
