@@ -1,6 +1,7 @@
 """All pairs of records of high TF-IDF cosine, by an exact prefix filter over packed lists of terms."""
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -9,14 +10,18 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import words
-from ..scratch import discard, materialize
+from ..functions.text import STOP_WORDS, WORD
+from ..scratch import discard, materialize, materialize_alone
 
 #: The terms of most records, as many as 16 bits can tell; all others are told by hash and frequency.
 TOP = 1 << 16
 #: Occurrences of terms that are counted at once, packed bytes of a bucket, records of a term that meet in one block, pairs that are measured at once.
 CHUNK_TERMS, BUCKET_BYTES, BLOCK_ROWS, MEASURED = 1 << 21, 6 << 20, 1 << 15, 20_000
+#: Rows of a result that are sent at once, ends of pairs that are held until only the nearest of each record stay.
+SENT, HELD = 10_000, 1 << 20
 #: Dimensions of a record's outline, of which so many belong to one term each; groups of more rows are multiplied as matrices, so many rows at once.
 DIMS, OWN, SMALL, SIDE = 512, 256, 32, 512
 EPS = 1e-5
@@ -33,30 +38,59 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, hi - lo)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(chunk, term, n, blob): of each chunk of records a row for each 64-bit term with the number of its records, and one row with the counts of all records."""
+def _small(raw: bytes) -> bytes:
+    """Compressed, behind its size."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _size(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=_size(blob), codec="zstd", asbytes=True)
+
+
+def _stored(column: pa.Array) -> bytes:
+    return _small(pa.RecordBatch.from_arrays([column], ["carried"]).serialize().to_pybytes())
+
+
+def _restored(blob: bytes, kind: pa.DataType) -> pa.Array:
+    return pa.ipc.read_record_batch(pa.py_buffer(_whole(blob)), pa.schema([("carried", kind)])).column(0)
+
+
+def _counted(docs: DataFrame, carries: pa.DataType | None) -> DataFrame:
+    """(chunk, term, n, blob, carried): of each chunk of records a row for each 64-bit term with the number of its records, and one row with the counts of all records.
+
+    Function words are dropped here, where each word is looked up once a batch. carries: the type of what the records carry along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, stop = TaskContext.get().partitionId() << 32, set(STOP_WORDS)
         for whole in batches:
             for b in _runs(whole):
                 ids, lists = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1)
                 doc = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
                 seen = lists.flatten().dictionary_encode()
-                term, place = np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in seen.dictionary.to_pylist()], np.uint64).view(np.int64), return_inverse=True)
-                m = len(term)
-                both, tf = np.unique(doc * max(m, 1) + place[seen.indices.to_numpy(zero_copy_only=False)], return_counts=True) if m else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                names, at = seen.dictionary.to_pylist(), seen.indices.to_numpy(zero_copy_only=False)
+                telling = np.fromiter((w not in stop for w in names), bool, len(names))
+                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
+                term, place = np.unique(hashes[telling], return_inverse=True)
+                m, number = len(term), np.zeros(len(names), np.int64)
+                number[telling] = place
+                doc, at = doc[telling[at]], number[at[telling[at]]]
+                both, tf = np.unique(doc * max(m, 1) + at, return_counts=True)
                 doc, at = both // max(m, 1), both % max(m, 1)
                 kind = "<u2" if m <= 1 << 16 else "<u4"
                 big = np.flatnonzero(tf > 255)
                 blob = np.array([len(ids), len(both), len(big), m], "<i8").tobytes() + ids.tobytes() + np.bincount(doc, minlength=len(ids)).astype("<u4").tobytes() + at.astype(kind).tobytes() + np.minimum(tf, 255).astype("u1").tobytes() + _big(big, tf).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * (m + 1), pa.int64()), pa.array([*term.tolist(), None], pa.int64()), pa.array([*np.bincount(at, minlength=m).tolist(), None], pa.int64()), pa.array([None] * m + [blob], pa.binary())],
-                    ["chunk", "term", "n", "blob"],
+                    [pa.array([chunk] * (m + 1), pa.int64()), pa.array([*term.tolist(), None], pa.int64()), pa.array([*np.bincount(at, minlength=m).tolist(), None], pa.int64()), pa.array([None] * m + [blob], pa.binary()), pa.array([None] * m + [carries and _stored(b.column(2).cast(carries))], pa.binary())],
+                    ["chunk", "term", "n", "blob", "carried"],
                 )
                 chunk += 1
 
-    return docs.mapInArrow(run, "chunk bigint, term bigint, n bigint, blob binary")
+    return docs.mapInArrow(run, "chunk bigint, term bigint, n bigint, blob binary, carried binary")
 
 
 def _big(at: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -82,6 +116,7 @@ class Terms:
 
     def __init__(self, ids: np.ndarray, norm: np.ndarray, doc: np.ndarray, term: np.ndarray, df: np.ndarray, tf: np.ndarray) -> None:
         self.ids, self.norm, self.doc, self.term, self.df, self.tf = ids, norm, doc, term, df, tf
+        self.code: np.ndarray | None = None
         self.n = np.bincount(doc, minlength=len(ids))
         self.first = np.cumsum(self.n) - self.n
 
@@ -115,29 +150,36 @@ class Coder:
         rest = np.zeros(int((code < 0).sum()), REST)
         rest["term"], rest["df"] = x.term[mine][code < 0], x.df[mine][code < 0]
         big = np.flatnonzero(tf > 255)
-        return np.array([len(docs), len(mine), len(rest), len(big)], "<u4").tobytes() + head.tobytes() + rest.tobytes() + code[code >= 0].astype("<u2").tobytes() + np.minimum(tf, 255).astype("u1").tobytes() + _big(big, tf).tobytes()
+        planes = code[code >= 0].astype("<u2").view("u1").reshape(-1, 2).T
+        return _small(np.array([len(docs), len(mine), len(rest), len(big)], "<u4").tobytes() + head.tobytes() + rest.tobytes() + planes.tobytes() + np.minimum(tf, 255).astype("u1").tobytes() + _big(big, tf).tobytes())
 
     def unpack(self, blobs: list[bytes]) -> Terms:
         heads, terms, dfs, tfs = [np.zeros(0, DOC)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b in blobs:
+        codes = [np.zeros(0, np.int64)]
+        for b in map(_whole, blobs):
             n, k, r, many = np.frombuffer(b, "<u4", 4).tolist()
             o, got = 16, []
-            for kind, size in ((DOC, n), (REST, r), ("<u2", k - r), ("u1", k), (BIG, many)):
+            for kind, size in ((DOC, n), (REST, r), ("u1", 2 * (k - r)), ("u1", k), (BIG, many)):
                 got.append(np.frombuffer(b, kind, size, o))
                 o += size * np.dtype(kind).itemsize
-            head, rest, code, tf = got[0], got[1], got[2].astype(np.int64), got[3].astype(np.int64)
+            head, rest, planes, tf = got[0], got[1], got[2].astype(np.int64).reshape(2, -1), got[3].astype(np.int64)
+            code = planes[0] + (planes[1] << 8)
             tf[got[4]["at"]] = got[4]["tf"]
             size, few = head["terms"].astype(np.int64), head["rest"].astype(np.int64)
             is_rest = np.arange(k) - np.repeat(np.cumsum(size) - size, size) < np.repeat(few, size)
             term, df = np.zeros(k, np.int64), np.zeros(k, np.int64)
             term[is_rest], df[is_rest] = rest["term"], rest["df"]
             term[~is_rest], df[~is_rest] = self.top[code], self.df[code]
+            codes.append(np.full(k, -1, np.int64))
+            codes[-1][~is_rest] = code
             heads.append(head)
             terms.append(term)
             dfs.append(df)
             tfs.append(tf)
         head = np.concatenate(heads)
-        return Terms(head["id"].astype(np.int64), head["norm"].astype(float), np.repeat(np.arange(len(head)), head["terms"]), np.concatenate(terms), np.concatenate(dfs), np.concatenate(tfs))
+        x = Terms(head["id"].astype(np.int64), head["norm"].astype(float), np.repeat(np.arange(len(head)), head["terms"]), np.concatenate(terms), np.concatenate(dfs), np.concatenate(tfs))
+        x.code = np.concatenate(codes)
+        return x
 
     def weights(self, x: Terms) -> np.ndarray:
         return x.tf * self.idf(x.df) / x.norm[x.doc]
@@ -157,11 +199,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _weighed(counted: DataFrame, frequency: DataFrame, coder: Coder, most: float) -> DataFrame:
-    """(blob, rows, bytes, code, n): the packed records of a chunk, with the rows of their prefixes; of each common term the number of its rows."""
+def _weighed(counted: DataFrame, frequency: DataFrame, coder: Coder, most: float, carries: pa.DataType | None) -> DataFrame:
+    """(blob, bytes, carried, rows, docs, code, n): the packed records of a chunk, with the rows of their prefixes; of each common term the number of its rows."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        blob = next(b for b in table.column("blob").to_pylist() if b is not None)
+        blob, carried = next((b, c) for b, c in zip(table.column("blob").to_pylist(), table.column("carried").to_pylist()) if b is not None)
         known = table.filter(pc.is_valid(table.column("term")))
         term, df = known.column("term").to_numpy(), known.column("df").to_numpy()
         order = np.argsort(term)
@@ -182,11 +224,12 @@ def _weighed(counted: DataFrame, frequency: DataFrame, coder: Coder, most: float
         packed = coder.pack(x, docs)
         code, n = np.unique(coder.code(x.term[rows]), return_counts=True)
         m = len(code)
-        return pa.table({"blob": pa.array([packed] + [None] * m, pa.binary()), "rows": pa.array([len(rows)] + [None] * m, pa.int64()), "docs": pa.array([len(docs)] + [None] * m, pa.int64()), "code": pa.array([None, *code.tolist()], pa.int64()), "n": pa.array([None, *n.tolist()], pa.int64())})
+        carried = carries and _stored(_restored(carried, carries).take(pa.array(docs)))
+        return pa.table({"blob": pa.array([packed] + [None] * m, pa.binary()), "bytes": pa.array([_size(packed)] + [None] * m, pa.int64()), "carried": pa.array([carried] + [None] * m, pa.binary()), "rows": pa.array([len(rows)] + [None] * m, pa.int64()), "docs": pa.array([len(docs)] + [None] * m, pa.int64()), "code": pa.array([None, *code.tolist()], pa.int64()), "n": pa.array([None, *n.tolist()], pa.int64())})
 
-    terms = counted.where("term IS NOT NULL").select("chunk", "term").join(frequency, "term").select("chunk", "term", "df", F.lit(None).cast("binary").alias("blob"))
-    blobs = counted.where("blob IS NOT NULL").select("chunk", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("bigint").alias("df"), "blob")
-    return terms.unionByName(blobs).groupBy("chunk").applyInArrow(run, "blob binary, rows bigint, docs bigint, code bigint, n bigint")
+    terms = counted.where("term IS NOT NULL").select("chunk", "term").join(frequency, "term").select("chunk", "term", "df", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("carried"))
+    blobs = counted.where("blob IS NOT NULL").select("chunk", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("bigint").alias("df"), "blob", "carried")
+    return terms.unionByName(blobs).groupBy("chunk").applyInArrow(run, "blob binary, bytes bigint, carried binary, rows bigint, docs bigint, code bigint, n bigint")
 
 
 class Meeting:
@@ -212,17 +255,19 @@ class Meeting:
         at, key = np.concatenate(ats), np.concatenate(keys)
         return at, key, ((key >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
 
-    def spread(self, blob: bytes) -> tuple[list[int], list[bytes]]:
+    def spread(self, blob: bytes) -> tuple[list[int], list[bytes], list[np.ndarray]]:
+        """Buckets, what is sent to each, and the positions of its records."""
         x = self.coder.unpack([blob])
         at, _, to = self.rows(x, self.coder.behind(x, self.coder.weights(x)))
         both = np.unique(to * max(len(x.ids), 1) + x.doc[at])
         to, doc = both // max(len(x.ids), 1), both % max(len(x.ids), 1)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(to) > 0])) if len(to) else np.zeros(0, np.int64)
-        return to[cuts].tolist(), [self.coder.pack(x, d) for d in np.split(doc, cuts[1:])] if len(cuts) else []
+        parts = np.split(doc, cuts[1:]) if len(cuts) else []
+        return to[cuts].tolist(), [self.coder.pack(x, d) for d in parts], parts
 
-    def pairs(self, bucket: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two ids and the cosine of the pairs that reach the threshold and whose first common term is in this bucket."""
-        x, t = self.coder.unpack(blobs), self.coder.t
+    def pairs(self, bucket: int, x: Terms) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Two positions and the cosine of the pairs that reach the threshold and whose first common term is in this bucket, bit by bit."""
+        t = self.coder.t
         w = self.coder.weights(x)
         behind = self.coder.behind(x, w)
         at, key, to = self.rows(x, behind)
@@ -233,24 +278,23 @@ class Meeting:
         size = np.diff(np.append(starts, len(key)))
         doc, mine = x.doc[at], w[at].astype(np.float32)
         rest = np.sqrt(np.maximum(behind[at] ** 2 - w[at] ** 2, 0.0)).astype(np.float32)
-        terms, place = np.unique(x.term, return_inverse=True)
-        df = np.zeros(len(terms), np.int64)
-        df[place] = x.df
-        rank = np.empty(len(terms), np.int64)
-        rank[np.lexsort((terms, df))] = np.arange(len(terms))
-        rank, many = rank[place], max(len(terms), 1)
+        # the list is in falling order of frequency and term, and all other terms come before it in rising order
+        other = np.flatnonzero(x.code < 0)
+        terms, first, place = np.unique(x.term[other], return_index=True, return_inverse=True)
+        order = np.empty(len(terms), np.int64)
+        order[np.lexsort((terms, x.df[other[first]]))] = np.arange(len(terms))
+        rank, many = len(terms) + len(self.coder.top) - 1 - x.code, len(terms) + len(self.coder.top) + 1
+        rank[other] = order[place]
         index = x.doc * many + rank
-        code = self.coder.code(terms)[place]
-        cell = np.where((code >= 0) & (code < OWN), code, OWN + (_mix(x.term.view(np.uint64)) % np.uint64(DIMS - OWN)).astype(np.int64))
+        cell = np.where((x.code >= 0) & (x.code < OWN), x.code, OWN + (_mix(x.term.view(np.uint64)) % np.uint64(DIMS - OWN)).astype(np.int64))
         # of the terms that fall together the length: by Cauchy and Schwarz the product of two outlines is the cosine at least
         outline = np.zeros((len(x.ids), DIMS), np.float32)
         for lo in range(0, len(x.ids), 4096):
             hi = min(len(x.ids), lo + 4096)
             a, b = x.first[lo], x.first[hi - 1] + x.n[hi - 1]
             outline[lo:hi] = np.sqrt(np.bincount((x.doc[a:b] - lo) * DIMS + cell[a:b], w[a:b] ** 2, minlength=(hi - lo) * DIMS)).reshape(-1, DIMS)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def measure(i: np.ndarray, j: np.ndarray) -> None:
+        def measure(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for lo in range(0, len(i), MEASURED):
                 a, b, first = doc[i[lo : lo + MEASURED]], doc[j[lo : lo + MEASURED]], rank[at[i[lo : lo + MEASURED]]]
                 n = x.n[b]
@@ -263,13 +307,13 @@ class Meeting:
                 cosine = np.bincount(pair, w[of] * w[got], minlength=len(a))
                 _, one = np.unique(pair, return_index=True)  # each pair shares the term of its key, so has a first one
                 keep = (cosine >= t - 1e-12) & (rank[of[one]] == first)
-                out.append((x.ids[a[keep]], x.ids[b[keep]], cosine[keep]))
+                yield a[keep], b[keep], cosine[keep]
 
-        def close(i: np.ndarray, j: np.ndarray) -> None:
+        def close(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for lo in range(0, len(i), MEASURED):
                 p, q = i[lo : lo + MEASURED], j[lo : lo + MEASURED]
                 ok = np.einsum("ij,ij->i", outline[doc[p]], outline[doc[q]]) >= t - EPS
-                measure(p[ok], q[ok])
+                yield from measure(p[ok], q[ok])
 
         left = np.repeat(starts + size, size) - np.arange(len(key)) - 1  # rows of the same key after this one
         i = np.flatnonzero(np.repeat(size <= SMALL, size))
@@ -279,7 +323,7 @@ class Meeting:
                 break
             j = i + step
             ok = mine[i] * mine[j] + rest[i] * rest[j] >= t - EPS
-            close(i[ok], j[ok])
+            yield from close(i[ok], j[ok])
         for lo, m in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
             for a in range(lo, lo + m, SIDE):
                 b = min(a + SIDE, lo + m)
@@ -293,10 +337,66 @@ class Meeting:
                     bound &= outline[doc[a:b]] @ outline[doc[c:d]].T >= t - EPS
                     i, j = np.nonzero(bound)
                     i, j = i + a, j + c
-                    measure(i[i < j], j[i < j])
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(map(np.concatenate, zip(*out)))
+                    yield from measure(i[i < j], j[i < j])
+
+
+def nine_places(s: np.ndarray) -> np.ndarray:
+    """``s`` in units of 1e-9, halves away from zero, to the last digit as Spark rounds the number that is written."""
+    near = s * 1e9
+    out = np.floor(near + 0.5).astype(np.int64)
+    for k in np.flatnonzero(np.abs(near - np.floor(near) - 0.5) < 1e-4).tolist():
+        out[k] = int(Decimal(repr(float(s[k]))).scaleb(9).to_integral_value(ROUND_HALF_UP))
+    return out
+
+
+def nearest(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id of another, cosine): the ``k`` nearest of each record among these pairs; ties (to 9 places) go to the smaller id. All pairs are never held at once."""
+    ends, n, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0, HELD
+
+    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, s = map(np.concatenate, zip(*ends))
+        order = np.lexsort((j, -nine_places(s), i))
+        i, j, s = i[order], j[order], s[order]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        near = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+        return i[near], j[near], s[near]
+
+    for a, b, cosine in found:
+        ends += [(ids[a], ids[b], cosine), (ids[b], ids[a], cosine)]
+        n += 2 * len(a)
+        if n > least:
+            ends = [cut()]
+            n, least = len(ends[0][0]), max(HELD, 2 * len(ends[0][0]))
+    return cut()
+
+
+def enriched(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, carried: pa.Array, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of both ids and, for each row of either record, its columns, as they are found."""
+    n, rows = pc.list_value_length(carried).to_numpy(zero_copy_only=False).astype(np.int64), carried.flatten()
+    first = np.cumsum(n) - n
+    parts = dict(zip(columns, rows.flatten()))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def send() -> Iterator[pa.RecordBatch]:
+        a, b = map(np.concatenate, zip(*held))
+        swap = ids[a] > ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        upto = np.cumsum(n[a] * n[b])
+        for lo in range(0, int(upto[-1]) if len(upto) else 0, SENT):
+            row = np.arange(lo, min(lo + SENT, int(upto[-1])))
+            pair = np.searchsorted(upto, row, "right")
+            nth = row - (upto[pair] - n[a[pair]] * n[b[pair]])
+            sides = (first[a[pair]] + nth // n[b[pair]], first[b[pair]] + nth % n[b[pair]])
+            at = [pa.array(s) for s in sides]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[pair]]), pa.array(ids[b[pair]]), *(parts[c].take(s) for s in at for c in columns)], ["id_1", "id_2", *(f"{c}_{k}" for k in (1, 2) for c in columns)])
+        held.clear()
+
+    for a, b, _ in found:
+        held.append((a, b))
+        if sum(len(p) for p, _ in held) >= SENT:
+            yield from send()
+    if held:
+        yield from send()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -318,9 +418,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def cosine_pairs(df: DataFrame, record: str, text: str, threshold: float, max_df: float, links: bool = False) -> DataFrame:
+def cosine_pairs(df: DataFrame, record: str, text: str, threshold: float, max_df: float, links: bool = False, near: int = 0, columns: list[str] | None = None) -> DataFrame:
     """(id_1, id_2, similarity), each pair once; with ``links`` only pairs enough to connect whatever the pairs connect.
 
+    With ``near`` (id_1, id_2, similarity) of pairs in either direction: at least the ``near`` nearest of each record, and as many
+    from each bucket at most. With ``columns`` (id_1, id_2, columns of both) for each row of either record: they go along with the records to the
+    buckets, where the rows of the result are made as the pairs are found; no pair is written or joined.
+
     The records of a batch are counted into one packed row; only the distinct terms of a batch are joined with their
     numbers of records, which come back to the batch. Terms are told by 64-bit hashes. A record is then packed in two bytes for each of the
     ``TOP`` terms of most records and twelve for others, and sent to the buckets of the terms of its prefix, once to each bucket.
@@ -328,17 +432,21 @@ def cosine_pairs(df: DataFrame, record: str, text: str, threshold: float, max_df
     if dict(df.dtypes)[record] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{record} must be a whole number")
     documents = df.count()
-    docs = df.where(F.col(record).isNotNull() & F.col(text).isNotNull()).select(F.col(record).cast("bigint").alias("id"), words(F.col(text)).alias("w"))
+    carries = pa.list_(pa.struct([(c, to_arrow_type(df.schema[c].dataType)) for c in columns])) if columns else None
+    carry = [F.struct(*[F.col(c) for c in columns]).alias("carried")] if columns else []
+    docs = df.where(F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias("id"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)).alias("w"), *carry)
     if df.groupBy(record).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        docs = docs.groupBy("id").agg(F.flatten(F.collect_list("w")).alias("w"))
-    counted = materialize(_counted(docs), "counted")
+        docs = docs.groupBy("id").agg(F.flatten(F.collect_list("w")).alias("w"), *(F.collect_list("carried").alias("carried") for _ in carry))
+    else:
+        docs = docs.where("w IS NOT NULL").select("id", "w", *(F.array("carried").alias("carried") for _ in carry))
+    counted = materialize(_counted(docs, carries), "counted")
     frequency = materialize(counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")), "frequency")
     top = frequency.where((F.col("df") > 1) & (F.col("df") <= max_df * documents)).orderBy(F.desc("df"), F.desc("term")).limit(TOP).toArrow()
     coder = Coder(top.column("term").to_numpy(), top.column("df").to_numpy(), documents, threshold)
-    weighed = materialize(_weighed(counted, frequency, coder, max_df * documents), "weighed")
+    weighed = materialize_alone(_weighed(counted, frequency, coder, max_df * documents, carries), "weighed")
     discard(counted)
     discard(frequency)
-    total = weighed.where("blob IS NOT NULL").agg(F.sum(F.col("rows") * F.length("blob") / F.greatest("docs", F.lit(1)))).first()[0] or 0
+    total = weighed.where("blob IS NOT NULL").agg(F.sum(F.col("rows") * F.col("bytes") / F.greatest("docs", F.lit(1)))).first()[0] or 0
     blocks = np.ones(len(coder.top), np.int64)
     for r in weighed.where("code >= 0").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).collect():
         blocks[r.code] = -(-r.n // BLOCK_ROWS)
@@ -347,18 +455,41 @@ def cosine_pairs(df: DataFrame, record: str, text: str, threshold: float, max_df
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                to, packed = meeting.spread(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+            for blob, carried in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                to, packed, docs = meeting.spread(blob)
+                every = carries and _restored(carried, carries)
+                along = [carries and _stored(every.take(pa.array(d))) for d in docs]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packed, pa.binary()), pa.array(along, pa.binary())], ["bucket", "packed", "carried"])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, cosine = meeting.pairs(key[0].as_py(), table.column("packed").to_pylist())
+        x = meeting.coder.unpack(table.column("packed").to_pylist())
+        found = meeting.pairs(key[0].as_py(), x)
+        if near:
+            i, j, cosine = nearest(found, x.ids, near)
+            return pa.table({"id_1": pa.array(i), "id_2": pa.array(j), "similarity": pa.array(cosine, pa.float64())})
+        a, b, cosine = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *found))
+        a, b = x.ids[a], x.ids[b]
         if links:
             k = forest(a, b)
             a, b, cosine = a[k], b[k], cosine[k]
         return pa.table({"id_1": pa.array(np.minimum(a, b)), "id_2": pa.array(np.maximum(a, b)), "similarity": pa.array(cosine, pa.float64())})
 
-    sent = weighed.where("blob IS NOT NULL").select("blob").mapInArrow(spread, "bucket int, packed binary").repartitionById(buckets, F.col("bucket"))
-    pairs = materialize(sent.groupBy("bucket").applyInArrow(meet, "id_1 bigint, id_2 bigint, similarity double"), "pairs")
-    discard(weighed)
+    def enrich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for bucket, packed, carried in zip(*(c.to_pylist() for c in batch.columns)):
+                got.setdefault(bucket, []).append((packed, carried))
+        while got:
+            bucket, blobs = got.popitem()
+            x = meeting.coder.unpack([packed for packed, _ in blobs])
+            carried = pa.concat_arrays([_restored(c, carries) for _, c in blobs])
+            yield from enriched(meeting.pairs(bucket, x), x.ids, carried, columns)
+
+    sent = weighed.where("blob IS NOT NULL").select("blob", "carried").mapInArrow(spread, "bucket int, packed binary, carried binary").repartitionById(buckets, F.col("bucket"))
+    if columns:
+        whole = [StructField(f"id_{k}", LongType()) for k in (1, 2)] + [StructField(f"{c}_{k}", df.schema[c].dataType) for k in (1, 2) for c in columns]
+        pairs = sent.mapInArrow(enrich, StructType(whole))
+    else:
+        pairs = materialize_alone(sent.groupBy("bucket").applyInArrow(meet, "id_1 bigint, id_2 bigint, similarity double"), "pairs")
+        discard(weighed)
     return pairs.withColumns({c: F.col(c).cast(df.schema[record].dataType) for c in ("id_1", "id_2")})

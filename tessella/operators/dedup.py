@@ -57,9 +57,23 @@ def similar_links(df: DataFrame, record: str, text: str, threshold: float = 0.7,
     return cosine_pairs(df, record, text, threshold, max_df, links=True).select("id_1", "id_2")
 
 
+def similar_nearest(df: DataFrame, record: str, text: str, k: int = 10, threshold: float = 0.7, max_df: float = 0.95) -> DataFrame:
+    """``nearest_pairs`` of ``similar_pairs``: where pairs are found, only the k - 1 nearest of each record are kept, so the pairs written grow with the records alone."""
+    return _nearest(cosine_pairs(df, record, text, threshold, max_df, near=k - 1).select(F.col("id_1").alias("i"), F.col("id_2").alias("j"), "similarity"), k)
+
+
+def similar_enriched(df: DataFrame, record: str, text: str, columns: list[str], threshold: float = 0.7, max_df: float = 0.95) -> DataFrame:
+    """``enrich_pairs`` of ``similar_pairs``: the columns go along with the records, so no pair is written, shuffled or joined."""
+    return cosine_pairs(df, record, text, threshold, max_df, columns=columns)
+
+
 def nearest_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
     """Pairs in which one is among the k - 1 nearest of the other; ties (similarity to 9 places) go to the smaller id."""
     ends = pairs.select(F.col("id_1").alias("i"), F.col("id_2").alias("j"), "similarity").unionByName(pairs.select(F.col("id_2").alias("i"), F.col("id_1").alias("j"), "similarity"))
+    return _nearest(ends, k)
+
+
+def _nearest(ends: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("i").orderBy(F.round("similarity", 9).desc(), "j")
     near = ends.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k - 1)
     return near.groupBy(F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2")).agg(F.max("similarity").alias("similarity"))

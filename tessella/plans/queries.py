@@ -99,7 +99,7 @@ def similar_pairs_topk(s, d):
 
 
 def pair_enrich(s, d):
-    return dedup.enrich_pairs(_pairs(s, d).select("id_1", "id_2"), _corpus(s, d), "row_index", ["Title", "Authors", "source"])
+    return dedup.similar_enriched(_corpus(s, d), "row_index", "Abstract", ["Title", "Authors", "source"])
 
 
 def dedup_components(s, d):

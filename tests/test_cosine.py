@@ -3,7 +3,9 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions.text import STOP_WORDS
 from tessella.operators import cosine, dedup
@@ -71,3 +73,26 @@ def test_disk_of_similar_pairs_stays_within_the_texts(spark):
     before = used()
     assert dedup.similar_pairs(df, "k", "t").count() > 300
     assert used() - before < 3 * sum(len(t) for _, t in rows)
+
+
+def copies_on_disk(spark, n, copies, make):
+    """Bytes that stay while ``make`` of a table of ``copies`` copies of each record is counted, and that count."""
+    root = Path(spark.conf.get("spark.local.dir"))
+    used = lambda: sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+    df = spark.createDataFrame(corpus(n), "k bigint, t string").crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).select((F.col("k") + 10_000 * F.col("copy")).alias("k"), "t", F.sha2("t", 512).alias("title"))
+    before = used()
+    return make(df).count(), used() - before
+
+
+def test_enriched_pairs_are_those_of_the_join_and_none_is_written(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "SENT", 7)
+    rows = [(k, t, None if k % 7 == 0 else f"title {k}", k % 3) for k, t in corpus(150)]
+    for more in ([], [(3, None, "second row", None), (4, "own words of four", None, 5)]):
+        df = spark.createDataFrame(rows + more, "k int, t string, title string, year int").repartition(3)
+        got, want = dedup.similar_enriched(df, "k", "t", ["title", "year"]), dedup.enrich_pairs(dedup.similar_pairs(df, "k", "t").select("id_1", "id_2"), df, "k", ["title", "year"])
+        names = ["id_1", "id_2", "title_1", "year_1", "title_2", "year_2"]
+        assert got.columns == names and dict(got.dtypes) == dict(want.dtypes)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(names).collect())) and got.count() > 20
+    assert dedup.similar_enriched(df.limit(0), "k", "t", ["title"]).count() == 0
+    pairs, disk = copies_on_disk(spark, 100, 80, lambda df: dedup.similar_enriched(df, "k", "t", ["title"]))
+    assert pairs > 400_000 and disk < pairs * 10
