@@ -95,7 +95,7 @@ def similar_pairs(s, d):
 
 
 def similar_pairs_topk(s, d):
-    return dedup.nearest_pairs(_pairs(s, d)).select("id_1", "id_2", F.round("similarity", 6).alias("similarity"))
+    return dedup.similar_nearest(_corpus(s, d), "row_index", "Abstract").select("id_1", "id_2", F.round("similarity", 6).alias("similarity"))
 
 
 def pair_enrich(s, d):

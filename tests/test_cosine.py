@@ -84,6 +84,24 @@ def copies_on_disk(spark, n, copies, make):
     return make(df).count(), used() - before
 
 
+def test_nearest_pairs_are_those_of_all_pairs_and_written_with_the_records(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "HELD", 50)
+    monkeypatch.setattr(cosine, "BLOCK_ROWS", 5)
+    df = spark.createDataFrame([(k + 1000 * c, t) for k, t in corpus(120) for c in range(5)], "k bigint, t string").repartition(5)
+    key = lambda p: sorted((r.id_1, r.id_2, round(r.similarity, 9)) for r in p.collect())
+    for k in (2, 4, 10):
+        assert key(dedup.similar_nearest(df, "k", "t", k)) == key(dedup.nearest_pairs(dedup.similar_pairs(df, "k", "t"), k))
+    assert dedup.similar_nearest(df.limit(0), "k", "t").count() == 0
+    (few, little), (many, much) = (copies_on_disk(spark, 100, c, lambda df: dedup.similar_nearest(df, "k", "t")) for c in (20, 80))
+    assert many > few > 1000 and much < 8 * little
+
+
+def test_rounding_to_nine_places_is_that_of_spark(spark):
+    s = [0.7001953125, 0.8000000005, 0.8000000015, 0.99999999949999999, 1.0, 1.0000000000000002, 0.70710678118654752, 0.9583333333333334, 0.1234567895, 0.7500000004999999]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in s], "s double").select(F.round(F.round("s", 9) * 1e9, 0).cast("bigint")).collect()]
+    assert cosine.nine_places(np.array(s)).tolist() == want
+
+
 def test_enriched_pairs_are_those_of_the_join_and_none_is_written(spark, monkeypatch):
     monkeypatch.setattr(cosine, "SENT", 7)
     rows = [(k, t, None if k % 7 == 0 else f"title {k}", k % 3) for k, t in corpus(150)]
