@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -439,6 +440,19 @@ def test_the_classifier_finds_wordings_and_placeholders_without_a_pattern(spark)
     assert min(got[k] for k in (1000, 1001, 1002)) >= residue.LEAST_THRESHOLD > max(got[k] for k in range(300) if k % 4)
 
 
+def test_every_segment_is_learnt_from_whatever_the_weight(spark):
+    data = [(k, f"Error 404: not found. Cow {k % 50} gave milk in the {k % 7}th month. No server lost page {k}.", f"h{k % 9}") if k % 5 == 0 else (k, f"Herd {k} was seen twice. Yield {k % 40} rose.\nLoss of a page {k % 3}", f"h{k % 9}") for k in range(400)]
+    texts = residue._texts(spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3), "doc_id", "text", "source")
+    labels = residue.Labels()
+    want = Counter(r.kind for r in residue.labelled(texts, labels).select("kind").collect())
+    sample = residue.draw(texts, labels, most=40)
+    got = {r.label: r for r in sample.groupBy("label").agg(F.sum("stands").alias("n"), F.sum(F.col("stands") * F.col("rate")).alias("mass"), F.count("*").alias("rows")).collect()}
+    assert got[1.0].n == want[3] > 10 and got[0.0].n == sum(want.values()) - want[3] > got[0.0].rows
+    assert abs(got[1.0].mass - 10) < 1e-9 and got[0.0].mass <= 30 + 1e-9
+    x = sample.where("label = 1").first().features
+    assert x.size == residue.DIMENSIONS + residue.EXTRA and list(x.indices) == sorted(set(x.indices)) and len(x.indices) > 10
+
+
 def test_residue_of_one_held_out_host(spark):
     host = spark.range(50).select(F.concat(F.lit("h"), "id").alias("h")).where(residue.held_out(F.col("h"))).first().h
     data = [(k, f"Herds near Place{k} were visited in {2000 + k % 20}. The loss was {k}." + " Please enable JavaScript to view this abstract." * (k % 6 == 0), host) for k in range(120)]
