@@ -180,6 +180,42 @@ def test_texts_are_sent_packed_without_loss():
     assert len(blob) < 0.75 * 500 * (similar.DOC.itemsize + similar.ROW.itemsize)
 
 
+def test_texts_are_cut_into_words_twice_and_only_rows_of_pairs_made_canonical(spark, monkeypatch, tmp_path):
+    cut, made = tmp_path / "cut", tmp_path / "made"
+
+    def count(path, n):
+        with open(path, "a") as f:
+            f.write(f"{n}\n")
+
+    split, canonical = similar._bags, similar.canonical_record
+    monkeypatch.setattr(similar, "_bags", lambda b: (count(cut, len(b)), split(b))[1])
+    monkeypatch.setattr(similar, "canonical_record", lambda f: (count(made, 1), canonical(f))[1])
+    data = [(k, f"a{k} b{k}", f"c{k} d{k} e{k}") for k in range(200)] + [(900, "A7 b7", "c7 d7 e7"), (901, "b8 a8", "c8 d8 e8"), (902, "a9 b9", "c9 d9 e9 f9")]
+    df = spark.createDataFrame(data, "row_index bigint, Title string, Abstract string")
+    assert rows(similar.near_duplicates(df, "row_index", ["Title", "Abstract"]), "*") == [(8, 901), (9, 902)]
+    # the row of a word set that another row has is not searched again
+    assert sum(map(int, cut.read_text().split())) == 2 * len(data) - 2 and sum(map(int, made.read_text().split())) == 6
+
+
+def test_parts_of_texts_are_kept_without_loss():
+    texts = ["", "c1 c3 u1", "?", "u2 u3 u4", "c299 c0", *(" ".join([f"c{k}" for k in range(0, 300, s)] + [f"u{s}"]) for s in range(1, 40))]
+    bags = similar.Bags(bags_ids(len(texts)), list(texts))
+    for common in (similar.Bags(bags_ids(1), [" ".join(f"c{k}" for k in range(300))]).word, np.zeros(0, np.uint64)):
+        filt = similar.Filter(np.sort(common), 0.7)
+        parts = filt.parts(bags)
+        for kind in (np.dtype("<u2"), np.dtype("<u4")):
+            got = similar.Parts.unpacked(parts.packed(kind), kind)
+            assert all(np.array_equal(v, getattr(got, k)) for k, v in vars(parts).items())
+        assert (np.bincount(parts.doc, minlength=len(texts)) + parts.rare == bags.n).all()
+
+
+def test_words_are_told_apart_as_by_the_pattern():
+    texts = ["", "–", "A a\u2013b _c_ a", "\u0130x i\u0307x", "Stra\u00dfe STRASSE", "\u65e5\u672c a \u65e5\u672c", "ab ba aab aba baa", "x" * 300_000 + " y", "\U0001f404 cow", "\u00bd 1 2", *(f"w{k} w{k + 1} v{k}" for k in range(3000))]
+    assert similar.Bags(bags_ids(len(texts)), texts).n.tolist() == [len(set(re.findall(r"[^\W_]+", t.lower()))) for t in texts]
+    word = [similar.hashed_words([similar.spaced(t), similar.spaced("other"), similar.spaced(t)]) for t in texts]
+    assert all(sorted(w[d == 0]) == sorted(w[d == 2]) for d, w in word)  # wherever a word stands it is the same
+
+
 def test_long_texts_of_common_words_against_brute_force(spark):
     rnd = random.Random(8)
     vocabulary, data = [f"c{k}" for k in range(520)], []
